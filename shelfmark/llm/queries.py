@@ -19,6 +19,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.bpe import encode
+
+    done = encode(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.exact_dedup import exact_dedup
 
@@ -33,6 +40,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_simhash": op9_simhash,
 }
