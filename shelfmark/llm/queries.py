@@ -51,6 +51,13 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, net).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.line_dedup import dedup_lines
+
+    left = dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.simhash import simhash_groups
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_langid": op5_langid,
+    "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
 }
 
