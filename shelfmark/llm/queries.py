@@ -51,6 +51,15 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, net).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.substring_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents")).filter(F.size("spans") > 0)
+    gone = F.filter("spans", lambda s: s["dropped"])
+    chars = F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.size(gone).cast("long").alias("n_dropped"), chars.alias("dropped_chars"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.line_dedup import dedup_lines
 
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_langid": op5_langid,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
 }
