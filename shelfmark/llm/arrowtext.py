@@ -20,12 +20,12 @@ def utf8(array: pa.Array) -> list[bytes | None]:
     return array.cast(pa.binary()).to_pylist()
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about STEP_BYTES of text each, so memory doesn't follow the batch size."""
+def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes of text each, so memory doesn't follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = max(1, int(batch.num_rows * STEP_BYTES / max(1, column(batch, text).nbytes)))
+        rows = max(1, int(batch.num_rows * size / max(1, column(batch, text).nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
