@@ -67,6 +67,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfmark.llm.storage import new_path
+    from shelfmark.llm.token_store import read_tokens, write_tokens
+
+    folder = new_path(spark, "tokens")
+    shards = write_tokens(table(spark, sf_dir, "documents"), folder)
+    return read_tokens(spark, folder, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfmark.llm.simhash import simhash_groups
 
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_store": op8_token_store,
     "op9_simhash": op9_simhash,
     "op10_ngram_lm": op10_ngram_lm,
 }
