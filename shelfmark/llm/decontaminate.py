@@ -81,7 +81,7 @@ def _shards(items: DataFrame, bound: int) -> list:
     return [sc.broadcast([(r["id"], r["text"].encode()) for r in part.collect()]) for part in parts]
 
 
-def _scanner(held: list, size: int):
+def _scanner(held: list, size: int, keep: list[str]):
     built: dict = {}
 
     def machine(k: int) -> ahocorasick.Automaton:
@@ -108,10 +108,10 @@ def _scanner(held: list, size: int):
                         merged[i] += spans
                 found = [_merge(t, some, spans) for t, some, spans in zip(texts, ids, merged)]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "id"), pa.array([len(w) for w in split], pa.int64()), pa.array([f[0] for f in found], pa.int64()),
+                [*(column(batch, c) for c in batch.schema.names if c in keep), pa.array([len(w) for w in split], pa.int64()), pa.array([f[0] for f in found], pa.int64()),
                  pa.array([sorted(x for x in f[1] if x is not None) for f in found], pa.list_(pa.string())),
                  pa.array([[{"start": a, "end": b} for a, b in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["id", "n_words", "n_hit", "items", "spans"],
+                names=[*(c for c in batch.schema.names if c in keep), "n_words", "n_hit", "items", "spans"],
             )
 
     return run
@@ -131,6 +131,19 @@ def _merge(text: bytes, ids: set, spans: list[tuple[int, int]]) -> tuple[int, se
     return int(inside.sum()), ids, [(places[a][0], places[b - 1][1]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
+def _item_shards(benchmark: DataFrame, item_col: str, item_text_cols: tuple[str, ...], bound: int) -> list:
+    parts = [benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(c).cast("string").alias("text")) for c in item_text_cols]
+    items = parts[0]
+    for part in parts[1:]:
+        items = items.unionByName(part)
+    return _shards(items.filter(F.col("text").isNotNull()), bound)
+
+
+def _scan(rows: DataFrame, held: list, window: int, keep: list[str]) -> DataFrame:
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
+    return rows.mapInArrow(_scanner(held, window, keep), ", ".join([*kept, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"]))
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
@@ -147,12 +160,17 @@ def find_contamination(
     benchmark beyond ``automaton_bytes`` is scanned for by several automata in
     turn, with the same results. Further columns are ignored.
     """
-    parts = [benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(c).cast("string").alias("text")) for c in item_text_cols]
-    items = parts[0]
-    for part in parts[1:]:
-        items = items.unionByName(part)
-    held = _shards(items.filter(F.col("text").isNotNull()), automaton_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_scanner(held, window), f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    found = _scan(rows, _item_shards(benchmark, item_col, item_text_cols, automaton_bytes), window, ["id"])
     return found.withColumnRenamed("id", id_col).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",),
+    window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` without a hit word, all columns unchanged."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
+    found = _scan(rows, _item_shards(benchmark, item_col, item_text_cols, automaton_bytes), window, names)
+    return found.filter(F.col("n_hit") == 0).select(*names).toDF(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrowtext import column, steps, utf8
 from shelfmark.llm.components import components
-from shelfmark.llm.storage import stage
+from shelfmark.llm.storage import fits, stage
 
 SEED = 42
 #: Words in a shingle and differing bits of a link, as the digest query has them.
@@ -206,3 +206,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of near copies, all columns unchanged.
+
+    Of a group the row with the smallest id stays (null last; of repeated rows
+    the first in scan order). ``docs`` is scanned more than once and must give
+    the same rows in the same partitions each time, as files do.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id())
+    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col)}
+    groups = simhash_groups(rows, "row", at[text_col], size, radius).select("row", F.col("component_id").alias("component"))
+    groups = stage(groups.join(rows.select("row", F.col(at[id_col]).alias("id")), "row"), "simhash-groups")
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    gone = stage(groups.join(best.filter("n > 1"), "component").filter(F.col("row") != F.col("best.row")).select("row"), "simhash-gone")
+    return rows.join(fits(gone), "row", "left_anti").select(*names).toDF(*docs.columns)

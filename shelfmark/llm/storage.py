@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a number, or a number and a small array, that are broadcast at most; larger sides are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _own: dict[str, str] = {}
 
@@ -53,3 +57,8 @@ def stage_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     path = new_path(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
