@@ -1,8 +1,9 @@
 """Elias-Fano coded monotone sequences over numpy words, queried many at a time.
 
 The low bits of each value are packed; the high bits are a bit vector with a one
-for each value and a zero for each step of the high part. Positions of every
-64th zero and one are sampled, so a select scans a few words.
+for each value and a zero for each step of the high part. The ones and zeros
+before every second word are counted, so a select is a search among the counts
+and a look at two words, however the ones are spread.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import numpy as np
 
 from shelfmark.llm.sharedarrays import load, save
 
-_EVERY = 64
+_BLOCK = 2
 _U = np.uint64
 
 
@@ -58,9 +59,14 @@ class EliasFano:
         size = -(-((top >> bits) + n + 2) // 64) * 64
         flags = np.zeros(size, np.uint8)
         flags[places] = 1
-        zeros = np.flatnonzero(flags == 0)[::_EVERY].astype(np.uint32 if size < 1 << 32 else _U)
-        ones = places[::_EVERY].astype(np.uint32 if size < 1 << 32 else _U)
         high = np.concatenate((np.packbits(flags, bitorder="little").view(_U), np.zeros(2, _U)))
+        blocks = -(-len(high) // _BLOCK)
+        counts = np.zeros(blocks * _BLOCK, np.int64)
+        counts[: len(high)] = np.bitwise_count(high)
+        kind = np.uint32 if size < 1 << 31 else _U
+        ones = np.concatenate(([0], np.cumsum(counts.reshape(blocks, _BLOCK).sum(1))[:-1]))
+        zeros = (np.arange(blocks) * (64 * _BLOCK) - ones).astype(kind)
+        ones = ones.astype(kind)
         return cls(np.array([n, bits], np.int64), _pack(values, bits), high, zeros, ones)
 
     def save(self, folder: str, name: str) -> None:
@@ -82,34 +88,20 @@ class EliasFano:
         both = (self.low[word] >> shift) | ((self.low[word + 1] << (_U(63) - shift)) << _U(1))
         return both & _U((1 << self.bits) - 1)
 
-    def _select(self, which: np.ndarray, samples: np.ndarray, flip: bool) -> np.ndarray:
-        place = samples[which // _EVERY].astype(np.int64)
-        rest = which % _EVERY
-        word = place >> 6
-        own = ~self.high[word] if flip else self.high[word]
-        own = own & (~_U(0) << (place & 63).astype(_U))
-        have = np.bitwise_count(own).astype(np.int64)
-        open_ = np.flatnonzero(have <= rest)
-        while len(open_):
-            rest[open_] -= have[open_]
-            word[open_] += 1
-            nxt = self.high[word[open_]]
-            own[open_] = ~nxt if flip else nxt
-            have[open_] = np.bitwise_count(own[open_])
-            open_ = open_[have[open_] <= rest[open_]]
+    def _select(self, which: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """The place of the set bit (``flip``: clear bit) that ``which`` others stand before."""
+        block = np.searchsorted(before, which.astype(before.dtype), side="right") - 1
+        rest = which - before[block].astype(np.int64)
+        word = block * _BLOCK
+        for k in range(_BLOCK):
+            own = ~self.high[word] if flip else self.high[word]
+            if k < _BLOCK - 1:
+                have = np.bitwise_count(own).astype(np.int64)
+                more = have <= rest
+                rest -= have * more
+                word += more
         return (word << 6) + _in_word(own, rest)
 
-    def _next_zero(self, place: np.ndarray) -> np.ndarray:
-        """The first zero after each position."""
-        word = (place + 1) >> 6
-        own = ~self.high[word] & (~_U(0) << ((place + 1) & 63).astype(_U))
-        open_ = np.flatnonzero(own == 0)
-        while len(open_):
-            word[open_] += 1
-            own[open_] = ~self.high[word[open_]]
-            open_ = open_[own[open_] == 0]
-        return (word << 6) + np.bitwise_count((own & (~own + _U(1))) - _U(1)).astype(np.int64)
-
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at these places."""
         at = np.asarray(at, np.int64)
@@ -128,7 +120,8 @@ class EliasFano:
         before = np.full(len(some), -1, np.int64)  # the zero that ends the high part before
         inner = np.flatnonzero(high > 0)
         before[inner] = self._select(high[inner] - 1, self.zeros, True)
-        left, right = before + 1 - high, self._next_zero(before) - high
+        end = self._select(high, self.zeros, True) - high
+        left, right = before + 1 - high, end.copy()
         open_ = np.flatnonzero(left < right)
         while len(open_):
             mid = (left[open_] + right[open_]) >> 1
@@ -136,7 +129,6 @@ class EliasFano:
             left[open_[less]] = mid[less] + 1
             right[open_[~less]] = mid[~less]
             open_ = open_[left[open_] < right[open_]]
-        end = self._next_zero(before) - high
         at[some] = left
         inside = left < end
         same[some[inside]] = self._low(left[inside]) == low[inside]

@@ -29,7 +29,7 @@ from shelfmark.llm.storage import new_path
 #: Taken off each count of a bigram or trigram and given to what follows the shorter context.
 DISCOUNT = 0.75
 #: Bytes of text for a file of the vocabulary, tokens for a file of a higher level, text of a step.
-VOCABULARY_BYTES, LEVEL_TOKENS, STEP = 64 << 20, 4_000_000, 2 << 20
+VOCABULARY_BYTES, LEVEL_TOKENS, STEP = 64 << 20, 4_000_000, 4 << 20
 #: Words, or n-grams, that a task counts before it hands them on; words whose numbers a worker remembers.
 HELD_WORDS, HELD_KEYS, REMEMBERED = 300_000, 1_500_000, 300_000
 #: Marks of equal counts that a file reports, for cutting the next level.
@@ -121,6 +121,18 @@ class Trie:
 _open: dict[str, dict] = {}
 
 
+class _Local(dict):
+    """Words to local numbers in order of their first use, from 1 on; ``new`` are those not looked up yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        at = self[word] = len(self) + 1
+        return at
+
+
 class OpenTrie:
     """A trie's files, mapped as they are asked for, and the words seen lately."""
 
@@ -135,7 +147,7 @@ class OpenTrie:
 
     def forget(self) -> None:
         """Local numbers: 0 is the start of a text."""
-        self.local: dict[bytes, int] = {}
+        self.local = _Local()
         self.number = np.zeros(1, np.int64)
         self.count = np.array([self.trie.texts], np.int64)
         self.first, self.degree = self._children(self.number)
@@ -160,56 +172,57 @@ class OpenTrie:
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Local numbers of words; new ones are looked up together."""
-        get = self.local.get
-        found = [get(w, -1) for w in words]
-        new = list({w for w, at in zip(words, found) if at < 0})
+        found = np.fromiter(map(self.local.__getitem__, words), np.int64, len(words))
+        new = self.local.new
         if new:
+            self.local.new = []
             hashes = _hash(new)
             numbers, counts = np.full(len(new), self.trie.words + 1, np.int64), np.zeros(len(new), np.int64)
             files = len(self.trie.vocabulary)
             bounds = np.array([(k << 64) // files for k in range(1, files)], _U)
-            for f, part in _groups(np.searchsorted(bounds, hashes, side="right")):
+            order = np.argsort(hashes)
+            for f, part in _runs(np.searchsorted(bounds, hashes[order], side="right")):
                 start, size = self.trie.vocabulary[f]
                 if size:
-                    known = self.file(f"words-{f}")
-                    at = np.minimum(np.searchsorted(known, hashes[part]), size - 1)
-                    same = known[at] == hashes[part]
-                    numbers[part[same]] = start + at[same]
-                    counts[part[same]] = self.file(f"counts1-{f}")[at[same]]
+                    known, at_ = self.file(f"words-{f}"), order[part]
+                    at = np.minimum(np.searchsorted(known, hashes[at_]), size - 1)
+                    same = known[at] == hashes[at_]
+                    numbers[at_[same]] = start + at[same]
+                    counts[at_[same]] = self.file(f"counts1-{f}")[at[same]]
             first, degree = self._children(numbers)
-            size = len(self.number)
-            self.local.update(zip(new, range(size, size + len(new))))
             self.number, self.count = np.concatenate((self.number, numbers)), np.concatenate((self.count, counts))
             self.first, self.degree = np.concatenate((self.first, first)), np.concatenate((self.degree, degree))
-            found = [get(w) for w in words]
-        return np.array(found, np.int64)
+        return found
 
     def bigrams(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the bigrams of word numbers, -1 for none, and their stored probabilities."""
-        keys = a.astype(_U) * _U(self.trie.base) + b.astype(_U)
+        keys, back = _sorted_once(a.astype(_U) * _U(self.trie.base) + b.astype(_U))
         at, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
-        for f, part in _groups(np.searchsorted(self.keys2, keys, side="right") - 1):
+        for f, part in _runs(np.searchsorted(self.keys2, keys, side="right") - 1):
             if f >= 0:
                 place, same = self.file(f"keys2-{f}").successor(keys[part] - self.keys2[f])
-                hit = part[same]
+                hit = part.start + np.flatnonzero(same)
                 at[hit] = self.starts2[f] + place[same]
                 p[hit] = 10.0 ** (self.file(f"chances2-{f}")[place[same]] / -float(FINE))
-        return at, p
+        return at[back], p[back]
 
     def trigrams(self, bigram: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stored probabilities of the trigrams, 0 for none, and how many successors each bigram has."""
-        p, degree = np.zeros(len(bigram)), np.zeros(len(bigram), np.int64)
-        for f, part in _groups(np.searchsorted(self.starts3, bigram, side="right") - 1):
-            if f < 0:
-                continue
-            own = bigram[part] - self.starts3[f]
-            pointers = self.file(f"pointers3-{f}")
-            degree[part] = pointers.get(own + 1).astype(np.int64) - pointers.get(own).astype(np.int64)
-            some = part[(degree[part] > 0) & (relative[part] >= 0)]
-            if len(some):
-                key = (bigram[some] - self.starts3[f]).astype(_U) * _U(self.trie.widest) + relative[some].astype(_U)
-                place, same = self.file(f"keys3-{f}").successor(key)
-                p[some[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
+        own, back = _sorted_once(bigram)
+        degree = np.zeros(len(own), np.int64)
+        for f, part in _runs(np.searchsorted(self.starts3, own, side="right") - 1):
+            if f >= 0:
+                pointers, local = self.file(f"pointers3-{f}"), own[part] - self.starts3[f]
+                degree[part] = pointers.get(local + 1).astype(np.int64) - pointers.get(local).astype(np.int64)
+        degree = degree[back]
+        p = np.zeros(len(bigram))
+        some = np.flatnonzero((degree > 0) & (relative >= 0))
+        some = some[np.argsort(bigram[some])]
+        for f, part in _runs(np.searchsorted(self.starts3, bigram[some], side="right") - 1):
+            at = some[part]
+            key = (bigram[at] - self.starts3[f]).astype(_U) * _U(self.trie.widest) + relative[at].astype(_U)
+            place, same = self.file(f"keys3-{f}").successor(key)
+            p[at[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
         return p, degree
 
     def walk(self, texts: list[bytes | None]) -> Walk:
@@ -233,6 +246,24 @@ class Walk:
     ends: np.ndarray
 
 
+def _sorted_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, which lookups take faster, and the place of each key among them."""
+    order = np.argsort(keys)
+    own = keys[order]
+    first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return own[first], back
+
+
+def _runs(which: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, where it stands) of values in rising order."""
+    if len(which):
+        cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(which[a]), slice(a, b)
+
+
 def _groups(which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, places that have it)."""
     if len(which):

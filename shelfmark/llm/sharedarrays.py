@@ -40,7 +40,7 @@ def load(folder: str, name: str) -> np.ndarray:
     """The array, memory-mapped where the shared folder is mounted and read elsewhere."""
     local = _local(folder)
     if local is not None:
-        return np.load(f"{local}/{name}.npy", mmap_mode="r")
+        return np.asarray(np.load(f"{local}/{name}.npy", mmap_mode="r"))
     from pyarrow.fs import FileSystem
 
     system, path = FileSystem.from_uri(folder)
