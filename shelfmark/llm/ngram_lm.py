@@ -29,7 +29,7 @@ from shelfmark.llm.storage import new_path
 #: Taken off each count of a bigram or trigram and given to what follows the shorter context.
 DISCOUNT = 0.75
 #: Bytes of text for a file of the vocabulary, tokens for a file of a higher level, text of a step.
-VOCABULARY_BYTES, LEVEL_TOKENS, STEP = 64 << 20, 4_000_000, 4 << 20
+VOCABULARY_BYTES, LEVEL_TOKENS, STEP = 64 << 20, 4_000_000, 8 << 20
 #: Words, or n-grams, that a task counts before it hands them on; words whose numbers a worker remembers.
 HELD_WORDS, HELD_KEYS, REMEMBERED = 300_000, 1_500_000, 300_000
 #: Marks of equal counts that a file reports, for cutting the next level.
@@ -67,20 +67,30 @@ def _deal(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "keys", "counts"])
 
 
+def _deal_sorted(keys: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """As :func:`_deal` for keys that each count once; a bucket's keys are sent less its lower bound."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    rows = []
+    for b, part in _runs(np.searchsorted(bounds, keys, side="right") - 1):
+        rows.append((b, pack(keys[part] - bounds[b], True), pack(counts[part])))
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["bucket", "keys", "counts"])
+
+
 _DEALT = "bucket int, keys binary, counts binary"
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The summed (bucket, keys, counts) that a task was dealt."""
-    held: dict[int, tuple] = {}
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
         for b, k, n in zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts"))):
-            own = (unpack(k, "u8", True), unpack(n, "i8"))
-            if b in held:
-                own = sum_by_key(*(np.concatenate(x) for x in zip(held[b], own)))
-            held[b] = own
-    for b, (k, n) in sorted(held.items()):
-        yield b, k, n
+            held.setdefault(b, []).append((unpack(k, "u8", True), unpack(n, "i8")))
+    for b in sorted(held):
+        yield b, *sum_by_key(*(np.concatenate(x) for x in zip(*held.pop(b))))
 
 
 def _marks(counts: np.ndarray) -> np.ndarray:
@@ -154,7 +164,7 @@ class OpenTrie:
 
     def file(self, name: str):
         if name not in self.files:
-            sequence = name.startswith(("keys2", "keys3", "pointers"))
+            sequence = name.startswith(("keys", "pointers"))
             self.files[name] = EliasFano.open(self.trie.folder, name) if sequence else load(self.trie.folder, name)
         return self.files[name]
 
@@ -207,23 +217,19 @@ class OpenTrie:
         return at[back], p[back]
 
     def trigrams(self, bigram: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stored probabilities of the trigrams, 0 for none, and how many successors each bigram has."""
-        own, back = _sorted_once(bigram)
-        degree = np.zeros(len(own), np.int64)
-        for f, part in _runs(np.searchsorted(self.starts3, own, side="right") - 1):
-            if f >= 0:
-                pointers, local = self.file(f"pointers3-{f}"), own[part] - self.starts3[f]
-                degree[part] = pointers.get(local + 1).astype(np.int64) - pointers.get(local).astype(np.int64)
-        degree = degree[back]
-        p = np.zeros(len(bigram))
-        some = np.flatnonzero((degree > 0) & (relative >= 0))
-        some = some[np.argsort(bigram[some])]
-        for f, part in _runs(np.searchsorted(self.starts3, bigram[some], side="right") - 1):
-            at = some[part]
-            key = (bigram[at] - self.starts3[f]).astype(_U) * _U(self.trie.widest) + relative[at].astype(_U)
+        """Stored probabilities of the trigrams, 0 for none, and the weight that each bigram leaves to shorter contexts."""
+        p, weight = np.zeros(len(bigram)), np.ones(len(bigram))
+        order = np.argsort(bigram)
+        for f, part in _runs(np.searchsorted(self.starts3, bigram[order], side="right") - 1):
+            at = order[part]
+            own = bigram[at] - self.starts3[f]
+            stored = self.file(f"weights3-{f}")[own]
+            weight[at] = 10.0 ** (stored / -float(FINE))
+            some = np.flatnonzero((stored > 0) & (relative[at] >= 0))
+            key, at = own[some].astype(_U) * _U(self.trie.widest) + relative[at[some]].astype(_U), at[some]
             place, same = self.file(f"keys3-{f}").successor(key)
             p[at[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
-        return p, degree
+        return p, weight
 
     def walk(self, texts: list[bytes | None]) -> Walk:
         """The texts' tokens one after another, each with its word before; texts don't touch."""
@@ -311,32 +317,31 @@ _MARKED_SQL = "file int, n long, total long, texts long, marks array<long>"
 def _count_level(trie: Trie, level: int, bounds: np.ndarray):
     """Bigrams or trigrams of the training texts, dealt by ``bounds``."""
 
+    lower = bounds if level == 2 else bounds.astype(_U) * _U(trie.widest)  # the least key of each file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie.open()
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
         size = 0
         for batch in steps(batches, "text", STEP):
             w = own.walk(utf8(column(batch, "text")))
             a, b = own.number[w.before], own.number[w.now]
             if level == 2:
                 keys = a.astype(_U) * _U(trie.base) + b.astype(_U)
-                file = np.searchsorted(bounds, keys, side="right") - 1
             else:
                 at, _ = own.bigrams(a, b)
                 relative = at - own.first[w.before]
                 inner = np.ones(len(at), bool)
                 inner[w.starts] = False
                 here = np.flatnonzero(inner)
-                context = at[here - 1]
-                file = np.searchsorted(bounds, context, side="right") - 1
-                keys = (context - bounds[file]).astype(_U) * _U(trie.widest) + relative[here].astype(_U)
-            held.append((file, keys))
+                keys = at[here - 1].astype(_U) * _U(trie.widest) + relative[here].astype(_U)
+            held.append(keys)
             size += len(keys)
             if size > HELD_KEYS:
-                yield _deal(*(np.concatenate(x) for x in zip(*held)), np.ones(size, np.int64))
+                yield _deal_sorted(np.concatenate(held), lower)
                 held, size = [], 0
         if size:
-            yield _deal(*(np.concatenate(x) for x in zip(*held)), np.ones(size, np.int64))
+            yield _deal_sorted(np.concatenate(held), lower)
 
     return run
 
@@ -345,12 +350,14 @@ def _write_level2(trie: Trie, bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, keys, counts in _collect(batches):
             own = trie.open()
-            firsts, at = np.unique((keys // _U(trie.base)).astype(np.int64), return_inverse=True)
+            words = ((keys + _U(bounds[file])) // _U(trie.base)).astype(np.int64)  # in order
+            change = np.concatenate(([True], words[1:] != words[:-1]))
+            firsts, at = words[change], np.cumsum(change) - 1
             totals = np.full(len(firsts), trie.texts, np.int64)
             for f, part in _groups(np.where(firsts > 0, np.searchsorted(own.starts1, np.maximum(firsts, 1), side="right") - 1, -1)):
                 if f >= 0:
                     totals[part] = own.file(f"counts1-{f}")[firsts[part] - own.starts1[f]]
-            EliasFano.build(keys - _U(bounds[file])).save(trie.folder, f"keys2-{file}")
+            EliasFano.build(keys).save(trie.folder, f"keys2-{file}")
             save(trie.folder, f"chances2-{file}", _quantise((counts - DISCOUNT) / totals[at]))
             yield pa.RecordBatch.from_pylist([{"file": file, "n": len(keys), "total": int(counts.sum()), "texts": 0, "marks": _marks(counts).tolist()}], schema=_MARKED)
 
@@ -385,7 +392,8 @@ def _write_level3(trie: Trie, bounds: list[int]):
             n = bounds[file + 1] - bounds[file]
             totals = np.bincount(contexts, weights=counts, minlength=n)
             EliasFano.build(keys).save(trie.folder, f"keys3-{file}")
-            EliasFano.build(np.searchsorted(contexts, np.arange(n + 1)).astype(_U)).save(trie.folder, f"pointers3-{file}")
+            degree = np.bincount(contexts, minlength=n)
+            save(trie.folder, f"weights3-{file}", _quantise(np.where(degree > 0, DISCOUNT * degree / np.maximum(totals, 1), 1.0)))
             save(trie.folder, f"chances3-{file}", _quantise((counts - DISCOUNT) / totals[contexts]))
             yield pa.RecordBatch.from_pylist([{"file": file, "n": len(keys), "total": int(counts.sum()), "texts": 0, "marks": []}], schema=_MARKED)
 
@@ -446,6 +454,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", tokens_per_file:
     starts = [(trie.level2[f][1], r["total"], r["marks"]) for f, r in made.items()]
     pointed = spark.range(files, numPartitions=files).mapInArrow(_write_pointers(trie), "file int, widest long").collect()
     trie.widest = max(r["widest"] for r in pointed) + 1
+    if at * trie.widest >= 1 << 64:
+        raise OverflowError(f"{at} bigrams with up to {trie.widest} successors don't fit 64-bit trigram keys")
     inner = [0, *_bounds(starts, n)]
     trie.level3 = []
     made3 = {r["file"]: r["n"] for r in dealt(_count_level(trie, 3, np.array(inner, np.int64)), len(inner), _write_level3(trie, [*inner, at]))}
@@ -453,7 +463,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", tokens_per_file:
     for f, a in enumerate(inner):
         if f not in made3:  # contexts without a successor
             EliasFano.build(np.zeros(0, _U)).save(trie.folder, f"keys3-{f}")
-            EliasFano.build(np.zeros([*inner, at][f + 1] - a + 1, _U)).save(trie.folder, f"pointers3-{f}")
+            save(trie.folder, f"weights3-{f}", np.zeros([*inner, at][f + 1] - a, np.uint16))
             save(trie.folder, f"chances3-{f}", np.zeros(0, np.uint16))
     return trie
 
@@ -485,10 +495,9 @@ def _interpolated(trie: Trie, own: OpenTrie, w: Walk, one: np.ndarray) -> np.nda
     here = np.flatnonzero(inner)
     here = here[at[here - 1] >= 0]
     relative = np.where(at[here] >= 0, at[here] - own.first[w.before[here]], -1)
-    q, degree = own.trigrams(at[here - 1], relative)
-    seen = np.maximum(1.0, np.rint(p[here - 1] * total[here - 1] + DISCOUNT))  # the context's count, from its probability
+    q, weight = own.trigrams(at[here - 1], relative)
     three = two.copy()
-    three[here] = np.where(degree > 0, q + DISCOUNT * degree / seen * two[here], two[here])
+    three[here] = q + weight * two[here]
     return three
 
 
