@@ -3,8 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-DATA = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+
+from helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -33,10 +34,3 @@ def duck():
     for path in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
-
-
-def same_rows(frame, relation) -> None:
-    """The rows and column names of a DataFrame and a DuckDB relation are equal, whatever their order."""
-    assert sorted(frame.columns) == sorted(relation.columns)
-    left, right = ([tuple(r[i] for i in sorted(range(len(names)), key=lambda i: names[i])) for r in rows] for names, rows in ((frame.columns, frame.collect()), (relation.columns, relation.fetchall())))
-    assert sorted(map(repr, left)) == sorted(map(repr, right))
