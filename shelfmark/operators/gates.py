@@ -10,13 +10,12 @@ from pyspark.sql import types as T
 
 from shelfmark.functions.vector import as_double, malformed, norm
 from shelfmark.operators.embed import EmbeddingBackend
-from shelfmark.operators.knn import exact_topk
+from shelfmark.operators.knn import count_close, exact_topk
 from shelfmark.operators.probes import PROBE_GROUPS
 from shelfmark.operators.sampling import uniform_sample
 
 NEIGHBOUR_FLOOR, SEPARATION_FLOOR, HEALTHY_SEPARATION = 0.80, 0.05, 0.20
 RECALL_FLOOR, DUPLICATE = 0.40, 0.9999
-#: A group's vectors are summed; only the nearest neighbours are sought over all pairs, by blocks of probes.
 SEMANTIC_SCHEMA = "backend string, dims int, texts bigint, groups bigint, neighbour_rate double, intra double, inter double, separation double, duplicates bigint, failures array<string>, ok boolean"
 RECALL_SCHEMA = "total bigint, with_vector bigint, probes int, k int, mean_recall double, self_hit double, failures array<string>, ok boolean"
 
@@ -47,16 +46,14 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     """One row: pairs of (id, v) with a cosine above DUPLICATE.
 
     Equal directions are grouped first, so large groups of copies are counted,
-    not paired; what is left are near-equal vectors, sought by their neighbours.
+    not paired; pairs of the distinct ones are counted block by block.
     """
     unit = rows.select("id", F.transform("v", lambda x: x).alias("v"), norm(F.col("v")).alias("size"))
     key = unit.select("id", F.transform("v", lambda x: F.round(x / F.col("size"), 9) + 0.0).alias("key"))
     same = key.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
     alike = same.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("alike"))
     firsts = same.select("id", F.col("key").alias("v"), "n")
-    probes = firsts.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    near = exact_topk(firsts, probes, 32, "id", "v").filter((F.col("score") - 1 > DUPLICATE) & (F.col("qid") < F.col("id")))
-    close = near.join(firsts.select("id", "n"), "id").join(firsts.select(F.col("id").alias("qid"), F.col("n").alias("m")), "qid").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("close"))
+    close = count_close(firsts, DUPLICATE)
     return alike.crossJoin(close).select((F.col("alike") + F.col("close")).alias("duplicates"))  # a row each
 
 

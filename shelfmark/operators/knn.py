@@ -79,6 +79,37 @@ def _scan(names: list, matrix: np.ndarray, k: int, quantised: bool):
     return run
 
 
+def count_close(rows: DataFrame, floor: float) -> DataFrame:
+    """One row: ``close``, the sum of n * m over pairs of (id, v, n) whose cosine is above ``floor``, each pair once."""
+
+    def count(names: list, matrix: np.ndarray, weights: np.ndarray):
+        own, first = unit(matrix), np.array(names, np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, step = 0, max(1, SCORE_BYTES // (8 * len(own)))
+            for batch in batches:
+                some, held = to_matrix(batch.column(1), own.shape[1])
+                ids, n = (batch.column(i).take(pa.array(some)).to_numpy(zero_copy_only=False) for i in (0, 2))
+                for at in range(0, len(ids), step):
+                    close = (own @ unit(held[at : at + step]).T > floor) & (first[:, None] < ids[None, at : at + step])
+                    total += int(weights @ close @ n[at : at + step])
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["close"])
+
+        return run
+
+    held = rows.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("n").alias("qn"))
+    parts = []
+    for names, matrix in _blocks(held):
+        weights = {r["qid"]: r["qn"] for r in held.filter(F.col("qid").isin(names)).select("qid", "qn").collect()}  # a block
+        parts.append(rows.select("id", "v", "n").mapInArrow(count(names, matrix, np.array([weights[q] for q in names], np.int64)), "close long"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([(0,)], "close long")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.agg(F.coalesce(F.sum("close"), F.lit(0)).alias("close"))
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)

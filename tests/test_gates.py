@@ -114,6 +114,12 @@ def test_inverted_file_recall(spark, tmp_path):
     assert each.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_duplicates_are_all_counted(spark):
+    near = [(i, [1.0, 1e-4 * i / 100]) for i in range(100)]
+    rows = spark.createDataFrame(near + [(200 + i, [0.0, 1.0]) for i in range(50)] + [(300, [-1.0, 0.0])], "id long, v array<double>")
+    assert gates.duplicate_pairs(rows).first()[0] == 100 * 99 // 2 + 50 * 49 // 2
+
+
 def test_topk_ignores_unfit_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0])], "vec_id long, embedding array<float>")
     probe = spark.createDataFrame([(9, [1.0, 0.0]), (10, [])], "qid long, qv array<double>")
