@@ -14,9 +14,14 @@ STOP_WORDS = (
 )
 
 
-def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
-    """Lower-case runs of the pattern's characters, in order, repeats included; null gives none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
+def tokens(text: Column, chars: str = "a-z0-9") -> Column:
+    """Lower-case runs of the characters of a class, in order, repeats included; null gives none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{chars}]+"), "")
+
+
+def possessive_tokens(text: Column) -> Column:
+    """As :func:`tokens`, with what follows an apostrophe."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+(?:'[a-z]+)?)"), F.lit(1))
 
 
 def stem(word: Column) -> Column:
@@ -40,7 +45,7 @@ def stem(word: Column) -> Column:
 
 def analyze(text: Column, stemmed: bool = True) -> Column:
     """Tokens without stop words, stemmed."""
-    words = tokens(text, "[a-z0-9]+(?:'[a-z]+)?") if stemmed else tokens(text)
+    words = possessive_tokens(text) if stemmed else tokens(text)
     kept = F.filter(words, lambda t: ~t.isin(*STOP_WORDS))
     return F.transform(kept, stem) if stemmed else kept
 

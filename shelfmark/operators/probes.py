@@ -29,7 +29,7 @@ def probe_table(spark: SparkSession, groups: dict[str, tuple[str, ...]] | None =
 
 def group_words(df: DataFrame, group: str, idx: str, text: str, generic: frozenset[str] = GENERIC_WORDS) -> DataFrame:
     """(group, word) for each text's words that aren't generic."""
-    own = tokens(F.col(text), "[a-z]+")
+    own = tokens(F.col(text), "a-z")
     if generic:
         own = F.array_except(own, F.array(*[F.lit(w) for w in sorted(generic)]))
     return df.select(F.col(group).alias("grp"), F.col(idx).alias("idx"), F.explode(F.array_distinct(own)).alias("word"))
