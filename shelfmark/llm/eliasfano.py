@@ -102,6 +102,15 @@ class EliasFano:
                 word += more
         return (word << 6) + _in_word(own, rest)
 
+    def _zero_after(self, place: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The first clear bit after each place, which is clear bit number ``which``; mostly it is in the same word."""
+        word = (place + 1) >> 6
+        own = ~self.high[word] & (~_U(0) << ((place + 1) & 63).astype(_U))
+        at = (word << 6) + np.bitwise_count((own & (~own + _U(1))) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(own == 0)
+        at[far] = self._select(which[far], self.zeros, True)
+        return at
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at these places."""
         at = np.asarray(at, np.int64)
@@ -120,7 +129,7 @@ class EliasFano:
         before = np.full(len(some), -1, np.int64)  # the zero that ends the high part before
         inner = np.flatnonzero(high > 0)
         before[inner] = self._select(high[inner] - 1, self.zeros, True)
-        end = self._select(high, self.zeros, True) - high
+        end = self._zero_after(before, high) - high
         left, right = before + 1 - high, end.copy()
         open_ = np.flatnonzero(left < right)
         while len(open_):

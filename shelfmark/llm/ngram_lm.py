@@ -218,18 +218,18 @@ class OpenTrie:
 
     def trigrams(self, bigram: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stored probabilities of the trigrams, 0 for none, and the weight that each bigram leaves to shorter contexts."""
-        p, weight = np.zeros(len(bigram)), np.ones(len(bigram))
-        order = np.argsort(bigram)
-        for f, part in _runs(np.searchsorted(self.starts3, bigram[order], side="right") - 1):
-            at = order[part]
-            own = bigram[at] - self.starts3[f]
-            stored = self.file(f"weights3-{f}")[own]
-            weight[at] = 10.0 ** (stored / -float(FINE))
-            some = np.flatnonzero((stored > 0) & (relative[at] >= 0))
-            key, at = own[some].astype(_U) * _U(self.trie.widest) + relative[at[some]].astype(_U), at[some]
-            place, same = self.file(f"keys3-{f}").successor(key)
-            p[at[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
-        return p, weight
+        missing = relative < 0
+        keys, back = _sorted_once(bigram.astype(_U) * _U(self.trie.widest) + np.where(missing, 0, relative).astype(_U))
+        p, weight = np.zeros(len(keys)), np.ones(len(keys))
+        lower = self.starts3.astype(_U) * _U(self.trie.widest)
+        for f, part in _runs(np.searchsorted(lower, keys, side="right") - 1):
+            own = keys[part] - lower[f]
+            stored = self.file(f"weights3-{f}")[(own // _U(self.trie.widest)).astype(np.int64)]
+            weight[part] = 10.0 ** (stored / -float(FINE))
+            some = np.flatnonzero(stored)  # contexts with a successor leave less than all
+            place, same = self.file(f"keys3-{f}").successor(own[some])
+            p[part.start + some[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
+        return np.where(missing, 0.0, p[back]), weight[back]
 
     def walk(self, texts: list[bytes | None]) -> Walk:
         """The texts' tokens one after another, each with its word before; texts don't touch."""
