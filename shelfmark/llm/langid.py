@@ -23,6 +23,8 @@ from shelfmark.llm.arrowtext import column, steps, utf8
 LENGTH, WIDTHS, FILTERS, DIM = 240, (2, 3, 4), 12, 8
 #: At most so many labelled rows of each language are learned from, with so many windows of each.
 ROWS, CUTS, EPOCHS = 800, 3, 8
+#: Training steps at least, so that small samples are learned too.
+STEPS = 400
 UNKNOWN = "und"
 #: Windows that are scored together.
 BATCH = 512
@@ -117,7 +119,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, rate: flo
     rng = np.random.default_rng(seed)
     held = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             step += 1
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text", id_col
     return done if keep_text else done.drop(text_col)
 
 
-def keep_known(docs: DataFrame, net: ByteNet | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, net: ByteNet | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, all columns unchanged."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
