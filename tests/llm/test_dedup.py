@@ -159,7 +159,7 @@ def test_tree_prunes_nothing_it_needs():
 
 def brute_lines(rows, least=line_dedup.LEAST, size=line_dedup.SHINGLE):
     """Sets of (id, pos) of similar lines."""
-    lines = [(i, k, line.strip(" ")) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip()]
+    lines = [(i, k, line.strip(" \t\r\x0b\x0c")) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\r\x0b\x0c")]
     sets = [{s[j : j + size] for j in range(len(s) - size + 1)} or {s} for _, _, s in lines]
     holders = defaultdict(list)
     for k, s in enumerate(sets):

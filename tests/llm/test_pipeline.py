@@ -36,7 +36,7 @@ def test_line_stage(stages):
         assert r["n_chars"] == len(r["text"])
         for line in r["text"].split("\n"):
             if line.strip():
-                assert seen.setdefault(line.strip(" "), r["doc_id"]) == r["doc_id"] and list(r["text"].split("\n")).count(line) == 1
+                assert seen.setdefault(line.strip(" \t\r\x0b\x0c"), r["doc_id"]) == r["doc_id"] and list(r["text"].split("\n")).count(line) == 1
 
 
 def test_near_copies_stage(stages):
