@@ -160,6 +160,19 @@ def probes_by_id(vectors: DataFrame, every: int = 50, id_col: str = "vec_id", fi
     return vectors.filter(F.col(id_col) % every == 0).select(F.col(id_col).cast("long").alias("qid"), F.col(field).cast("array<double>").alias("qv"))
 
 
+def text_probes(spark, texts: dict[int, str], backend, prefix: str = "") -> DataFrame:
+    """Query texts by id as probes (qid, qv); a handful, embedded on the driver."""
+    held = sorted(texts.items())
+    vectors = backend.embed([prefix + t for _, t in held])
+    return spark.createDataFrame([(i, [float(x) for x in v]) for (i, _), v in zip(held, vectors)], "qid long, qv array<double>")
+
+
+def authentic(vectors: DataFrame, texts: dict[int, str], backend, prefix: str = "", id_col: str = "vec_id", field: str = "embedding") -> DataFrame:
+    """(qid, found_itself): whether the nearest vector of each stored text, embedded again, is its own with a cosine of about 1."""
+    first = exact_topk(vectors, text_probes(vectors.sparkSession, texts, backend, prefix), 1, id_col, field)
+    return first.select("qid", ((F.col("qid") == F.col("id")) & (F.col("score") > 2 - 1e-4)).alias("found_itself"))
+
+
 class InvertedFile:
     """Vectors by the nearest of some centroids; a probe looks into the nearest cells only.
 

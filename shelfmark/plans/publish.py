@@ -63,6 +63,10 @@ class Catalogue:
         """A version, or the one that an alias points to."""
         return self.spark.read.parquet(self.path(self.target(name) or name))
 
+    def display(self, name: str, contract: Contract) -> DataFrame:
+        """As :meth:`read` without the contract's hidden columns, which Parquet then never reads."""
+        return self.read(name).drop(*contract.hidden)
+
     def target(self, alias: str) -> str | None:
         targets = self.targets(alias)
         if len(targets) > 1:

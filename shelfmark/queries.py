@@ -446,6 +446,23 @@ def batch_embed(spark, sf_dir):
     return held.select("item_id", F.size("embedding").alias("dims"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
 
 
+@query("SELECT item_id AS qid, true AS found_itself FROM benchmark WHERE item_id < 5")
+def text_authenticity(spark, sf_dir):
+    """Stored texts, embedded again, find themselves among the lexical vectors of all items."""
+    items = table(spark, sf_dir, "benchmark")
+    vectors = embed.lexical_vectors(items, "item_id", "text")
+    texts = {r["item_id"]: r["text"] for r in items.filter("item_id < 5").collect()}
+    return knn.authentic(vectors, texts, embed.LexicalBackend(), id_col="item_id")
+
+
+@query()
+def text_knn(spark, sf_dir):
+    """A query text against the lexical vectors of all items."""
+    items = table(spark, sf_dir, "benchmark")
+    probe = knn.text_probes(spark, {0: "the thing of that"}, embed.LexicalBackend())
+    return knn.exact_topk(embed.lexical_vectors(items, "item_id", "text"), probe, 10, "item_id").select("id", F.round("score", 6).alias("score"), "place")
+
+
 @query("SELECT count(*) AS documents, count(DISTINCT o_orderkey) AS keys, count(*) = count(DISTINCT o_orderkey) AS distinct_keys, max(o_orderkey) AS highest FROM orders")
 def key_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")

@@ -59,6 +59,8 @@ def test_vectors_are_published(spark, csv, settings):
     assert done.published and done.documents == 3 and done.target.startswith("amazon_products_embeddings_v1_")
     catalogue = Catalogue(spark, settings.warehouse)
     assert catalogue.target(settings.vector_alias) == done.target
+    shown = catalogue.display(settings.vector_alias, product_contract(768))
+    assert "embedding" not in shown.columns and shown.count() == 3
     assert ingest_vectors(spark, csv, settings, recreate=False).target == done.target and catalogue.count(settings.vector_alias) == 3
 
 
