@@ -25,6 +25,8 @@ from shelfmark.llm.arrowtext import column, steps, utf8
 
 #: Labelled rows learned from at most, prior words, significance of a word's odds, words of the model at most.
 ROWS, PRIOR, LEAST_Z, MOST_WORDS = 16_000, 500.0, 3.2, 50_000
+#: Log-odds that a word has at least, either way: smaller ones come from copies of a few texts.
+LEAST_ODDS = 2.5
 #: Code points of the beginnings, longest first, and words whose score a task remembers.
 BEGINNINGS, REMEMBERED = (9, 8, 7, 6, 5), 300_000
 #: Score of a word without significant odds, and the largest score of one with.
@@ -144,7 +146,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_odds(counts: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, most_words: int = MOST_WORDS) -> dict[bytes, float]:
     """Log-odds of the words of (word, clean, toxic) under a Dirichlet prior of half a text plus a share in proportion to their overall counts.
 
-    Words whose odds lie ``least_z`` standard errors from even are returned, the
+    Words whose odds lie ``least_z`` standard errors and LEAST_ODDS from even are returned, the
     most significant ``most_words`` at most (the size of the model).
     """
     n = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).first()
@@ -156,7 +158,7 @@ def log_odds(counts: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z,
     at, ac = F.col("toxic") + own, F.col("clean") + own
     odds = F.log(at / (n["t"] + prior)) - F.log(ac / (n["c"] + prior))
     rated = counts.select("word", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"))
-    kept = rated.filter(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(most_words).collect()
+    kept = rated.filter((F.abs("z") >= least_z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "word").limit(most_words).collect()
     return {bytes(r["word"]): max(-MOST, min(MOST, r["odds"])) for r in kept}
 
 
