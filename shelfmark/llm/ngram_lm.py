@@ -40,6 +40,8 @@ FINE = 8192
 END = b"\n"
 
 _U = np.uint64
+#: The probability of each stored number.
+_CHANCE = 10.0 ** (np.arange(65536) / -float(FINE))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -213,7 +215,7 @@ class OpenTrie:
                 place, same = self.file(f"keys2-{f}").successor(keys[part] - self.keys2[f])
                 hit = part.start + np.flatnonzero(same)
                 at[hit] = self.starts2[f] + place[same]
-                p[hit] = 10.0 ** (self.file(f"chances2-{f}")[place[same]] / -float(FINE))
+                p[hit] = _CHANCE.take(self.file(f"chances2-{f}")[place[same]])
         return at[back], p[back]
 
     def trigrams(self, bigram: np.ndarray, relative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +227,10 @@ class OpenTrie:
         for f, part in _runs(np.searchsorted(lower, keys, side="right") - 1):
             own = keys[part] - lower[f]
             stored = self.file(f"weights3-{f}")[(own // _U(self.trie.widest)).astype(np.int64)]
-            weight[part] = 10.0 ** (stored / -float(FINE))
+            weight[part] = _CHANCE.take(stored)
             some = np.flatnonzero(stored)  # contexts with a successor leave less than all
             place, same = self.file(f"keys3-{f}").successor(own[some])
-            p[part.start + some[same]] = 10.0 ** (self.file(f"chances3-{f}")[place[same]] / -float(FINE))
+            p[part.start + some[same]] = _CHANCE.take(self.file(f"chances3-{f}")[place[same]])
         return np.where(missing, 0.0, p[back]), weight[back]
 
     def walk(self, texts: list[bytes | None]) -> Walk:
