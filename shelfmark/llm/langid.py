@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrowtext import column, steps, utf8
+from shelfmark.llm.arrowtext import column, steps
+from shelfmark.llm.storage import fits
 
 #: Bytes of a window (a multiple of each width), filter widths, filters of a width, numbers of a byte.
 LENGTH, WIDTHS, FILTERS, DIM = 240, (2, 3, 4), 12, 8
@@ -135,13 +136,17 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     """A network learned from at most ``rows`` rows of each language among those where ``learn`` holds.
 
     The sample is the rows with the lowest hashes of ``key_col``; of each, CUTS
-    stretches of a window are sent to the driver. Rows with a null language or a
+    stretches of a window are sent to the driver. Rows are counted by language
+    first, so that only those with hashes low enough are ranked. Rows with a null language or a
     text without a letter are not learned from; None where no row is left.
     """
-    pick = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
+    pick = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))
     some = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     some = some.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     some = some.select("lang", "h", F.array(*[F.expr(f"substring(text, 1 + pmod(xxhash64(h, {k}), greatest(length(text) - {LENGTH - 40}, 1)), {LENGTH - 20})") for k in range(CUTS)]).alias("text"))
+    counts = fits(some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    low = F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), (4.0 * rows + 100) / F.col("n")) * float(1 << 30)
+    some = some.join(counts, "lang").filter(low)
     got = [(r["lang"], t) for r in some.withColumn("k", pick).filter(F.col("k") <= rows).orderBy("h", "lang", "text").collect() for t in dict.fromkeys(r["text"])]
     got = [(lang, t.encode()[:LENGTH]) for lang, t in got if _LETTER.search(t)]
     return train([t for _, t in got], [lang for lang, _ in got]) if got else None
