@@ -6,7 +6,7 @@ cluster: no task holds a component, and the driver only reads two sums a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.llm.storage import remove, stage_at
@@ -25,10 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets, but for a chance of about 2**-64."""
+def _staged(edges: DataFrame, purpose: str) -> tuple[DataFrame, str, tuple]:
+    """The written edges, where, and a mark: equal for equal edge sets, but for a chance of about 2**-64."""
+    seen = Observation()
     pair = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(pair)).first())
+    now, path = stage_at(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(pair).alias("sum")), purpose)
+    got = seen.get
+    return now, path, (got["n"], got["sum"])
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
@@ -38,12 +41,11 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     node are not returned; null ends are ignored. No edges give no rows. Rounds
     grow with the logarithm of the longest chain.
     """
-    now, path = stage_at(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), purpose)
-    mark = _mark(now)
+    now, path, mark = _staged(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), purpose)
     while mark[0]:
-        after, new_path = stage_at(_small_star(_large_star(now)).distinct(), purpose)
+        after, new_path, new_mark = _staged(_small_star(_large_star(now)).distinct(), purpose)
         remove(now.sparkSession, path)
-        now, path, before, mark = after, new_path, mark, _mark(after)
+        now, path, before, mark = after, new_path, mark, new_mark
         if mark == before:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
