@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block, blocks coded together, entries of a prediction table, hashed rows of digit frequencies.
-BLOCK, LANES, TABLE, HASHED = 8192, 2048, 2048, 512
+BLOCK, LANES, TABLE, HASHED = 8192, 1024, 2048, 256
 _FIXED_ROWS = 1 + 16 + 256
 _ROWS = _FIXED_ROWS + HASHED
 _NONE = 0xFFFFF
@@ -45,15 +45,16 @@ class _Model:
         """The predicted id of each block and the probability (of 65536) that it comes."""
         lane, (one, two) = self.lane[:n], self.last[:, :n]
         self.at = (lane * TABLE + ((one * 40503 >> 4) & (TABLE - 1)), lane * TABLE + ((one * 40503 + two * 30011 >> 3) & (TABLE - 1)))
-        self.entry = [self.guess[k][self.at[k]] for k in range(2)]
+        self.entry = [self.guess[k].take(self.at[k]) for k in range(2)]
         ids = [e & 0xFFFFF for e in self.entry]
         sure = [(e >> 20).astype(np.int64) for e in self.entry]
         agree = (ids[0] == ids[1]).astype(np.int64)
         self.id = np.where(sure[1] > 0, ids[1], ids[0]).astype(np.int64)
         self.slot = [lane * 16 + np.minimum(s, 7) * 2 + agree for s in sure] + [lane * 8 + self.history[:n]]
-        self.stretched = [_STRETCH[self.odds[k][self.slot[k]] >> 4] for k in range(3)]
+        self.old = [self.odds[k].take(self.slot[k]) for k in range(3)]
+        self.stretched = [_STRETCH.take(o >> 4) for o in self.old]
         mixed = sum(self.weights[k, :n] * self.stretched[k] for k in range(3)) >> 16
-        self.p = _SQUASH[np.clip(mixed, -2047, 2047) + 2048]
+        self.p = _SQUASH.take(mixed + 2048, mode="clip")
 
     def learn(self, n: int, ids: np.ndarray, held: np.ndarray) -> None:
         """``ids`` came; ``held`` tells where the prediction was right."""
@@ -61,8 +62,8 @@ class _Model:
         error = (goal - self.p) >> 4
         for k in range(3):
             self.weights[k, :n] += (self.stretched[k] * error + 8192) >> 14
-            old = self.odds[k][self.slot[k]]
-            self.odds[k][self.slot[k]] = np.clip(old + ((goal - old) >> 5), 32, 65503)
+            old = self.old[k]
+            self.odds[k][self.slot[k]] = old + ((goal - old) >> 5)
         self.history[:n] = (self.history[:n] << 1 | held) & 7
         own = ids.astype(np.uint32)
         for k in range(2):
@@ -73,16 +74,20 @@ class _Model:
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
-    def row(self, lanes: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
-        """The frequency rows for the next digit after the digits ``before``."""
+    def row(self, base: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
+        """The frequency rows for the next digit after the digits ``before``; ``base`` is each lane's first row."""
         if level == 0:
-            return lanes * _ROWS
+            return base
         if level <= 2:
-            return lanes * _ROWS + (1 if level == 1 else 17) + before
-        return lanes * _ROWS + _FIXED_ROWS + ((before * 2654435761 >> 7) & (HASHED - 1))
+            return base + before + (1 if level == 1 else 17)
+        return base + (((before * 2654435761 >> 7) & (HASHED - 1)) + _FIXED_ROWS)
 
     def adapt(self, at: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
-        self.rows[at] = rows + ((_TARGET[digit] - rows) >> 5)
+        change = _TARGET.take(digit, axis=0)
+        change -= rows
+        change >>= 5
+        change += rows
+        self.rows[at] = change
 
 
 def digits_for(most: int) -> int:
@@ -103,8 +108,8 @@ def encode_blocks(blocks: list[np.ndarray], digits: int = 4) -> list[bytes]:
 def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
     """The intervals of the next symbols, in place; ``shift(need, low)`` moves the top 16 bits of settled ones."""
     span >>= _U(bits)
-    low += span * start.astype(_U)
-    span *= size.astype(_U)
+    low += span * start.astype(_U, copy=False)
+    span *= size.astype(_U, copy=False)
     need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOT))
     while len(need):
         lo, sp = low[need], span[need]
@@ -119,7 +124,7 @@ def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarr
 def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     lanes, steps = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     model = _Model(lanes, digits)
@@ -134,22 +139,22 @@ def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
         words.reshape(-1)[where * words.shape[1] + at] = lo >> _U(48)
         used[where] = at + 1
 
-    n = lanes
+    n, places = lanes, np.arange(0, 16 * lanes, 16)
     for step in range(steps):
         while lengths[n - 1] <= step:
             n -= 1
-        now = ids[step, :n]
+        now = ids[step, :n].astype(np.int64)
         model.predict(n)
         held = now == model.id
         _narrow(low[:n], span[:n], np.where(held, 0, model.p), np.where(held, model.p, 65536 - model.p), 16, shift)
         rest = np.flatnonzero(~held)
         if len(rest):
-            own, before, place = now[rest], np.zeros(len(rest), np.int64), np.arange(0, 16 * len(rest), 16)
+            own, before, place, base = now[rest], np.zeros(len(rest), np.int64), places[: len(rest)], rest * _ROWS
             lo, sp = low[rest], span[rest]
             for level in range(digits):
                 digit = own >> (4 * (digits - 1 - level)) & 15
-                at = model.row(rest, level, before)
-                rows = model.rows[at]
+                at = model.row(base, level, before)
+                rows = model.rows.take(at, axis=0)
                 start, stop = _bounds(rows, place, digit)
                 _narrow(lo, sp, start, stop - start, 15, lambda need, x: shift(rest[need], x))
                 model.adapt(at, rows, digit)
@@ -166,8 +171,11 @@ def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
 def _bounds(rows: np.ndarray, place: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative frequencies below and up to the digits; ``place`` is where each row starts."""
     flat = rows.reshape(-1)
-    start = flat[place + digit].astype(np.int64)
-    return start, np.where(digit < 15, flat[place + np.minimum(digit + 1, 15)].astype(np.int64), 32768)
+    at = place + digit
+    start = flat.take(at).astype(_U)
+    stop = flat.take(at + 1, mode="clip").astype(_U)
+    stop[digit == 15] = 32768
+    return start, stop
 
 
 def decode_blocks(coded: list[tuple[int, bytes]], digits: int = 4) -> list[np.ndarray]:
@@ -207,7 +215,7 @@ def _decode(coded: list[tuple[int, bytes]], digits: int) -> list[np.ndarray]:
 
         return shift
 
-    n = lanes
+    n, places = lanes, np.arange(0, 16 * lanes, 16)
     for step in range(steps):
         while lengths[n - 1] <= step:
             n -= 1
@@ -217,12 +225,12 @@ def _decode(coded: list[tuple[int, bytes]], digits: int) -> list[np.ndarray]:
         now = model.id
         rest = np.flatnonzero(~held)
         if len(rest):
-            before, place = np.zeros(len(rest), np.int64), np.arange(0, 16 * len(rest), 16)
+            before, place, base = np.zeros(len(rest), np.int64), places[: len(rest)], rest * _ROWS
             lo, sp, va = low[rest], span[rest], value[rest]
             shift = shifter(va, rest)
             for level in range(digits):
-                at = model.row(rest, level, before)
-                rows = model.rows[at]
+                at = model.row(base, level, before)
+                rows = model.rows.take(at, axis=0)
                 digit = np.count_nonzero(rows <= target(va, lo, sp, 15).astype(np.int16)[:, None], axis=1) - 1
                 start, stop = _bounds(rows, place, digit)
                 _narrow(lo, sp, start, stop - start, 15, shift)

@@ -26,6 +26,8 @@ from shelfmark.llm.arrowtext import column, steps
 
 #: Bytes of a leaf of the tree, tokens on each side of a first window, pieces remembered in a generation.
 LEAF, WINDOW, REMEMBERED = 512, 4, 250_000
+#: Bytes of text that are encoded together.
+STEP = 4 << 20
 
 _LOOSE = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
@@ -175,7 +177,7 @@ def codec(path: str) -> Codec:
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices with an ``id`` and a ``text`` column, and the ids of their texts; null is empty."""
     own = codec(path)
-    for batch in steps(batches, "text"):
+    for batch in steps(batches, "text", STEP):
         yield batch, own.encode([t or "" for t in column(batch, "text").to_pylist()])
 
 
