@@ -215,6 +215,20 @@ def test_variants_of_one_line_meet(spark):
     assert sorted(map(sorted, parts.values())) == [list(range(300)), [1001, 1002]]
 
 
+def test_pairs_of_one_template_meet(spark):
+    rnd, rows = np.random.default_rng(4), []
+    base = random_words(rnd, 40)[:200]
+    for i in range(150):
+        own = "".join(chr(97 + c) for c in rnd.integers(0, 26, 26))
+        rows += [(i, f"{base[:100]} {own} {base[100:]}"), (i + 1000, f"{base[:50]}{i % 10}{base[51:100]} {own} {base[100:]}")]
+    want = {frozenset(i for i, _ in g) for g in brute_lines(rows)}
+    assert want == {frozenset((i, i + 1000)) for i in range(150)}  # similar within a pair, a shared bucket for many pairs
+    got = defaultdict(set)
+    for r in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["component"]].add(r["id"])
+    assert set(map(frozenset, got.values())) == want
+
+
 def test_lines_edges(edge, empty):
     rows = line_dedup.dedup_lines(edge)
     assert set(rows.columns) == {*edge.columns, "n_lines", "n_dropped"}
