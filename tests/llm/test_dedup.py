@@ -229,6 +229,17 @@ def test_pairs_of_one_template_meet(spark):
     assert set(map(frozenset, got.values())) == want
 
 
+def test_short_lines_and_letter_cases_meet(spark):
+    rnd, rows = np.random.default_rng(6), []
+    for i in range(40):
+        line = random_words(rnd, 20)[:60].strip().ljust(60, "z")
+        rows += [(i, line), (i + 100, line[:30] + "#" + line[31:]), (i + 200, line.upper())]  # one character of 60: 51 of 61 shingles
+    got = defaultdict(set)
+    for r in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["component"]].add(r["id"])
+    assert sum({i, i + 100, i + 200} in got.values() for i in range(40)) >= 39
+
+
 def test_lines_edges(edge, empty):
     rows = line_dedup.dedup_lines(edge)
     assert set(rows.columns) == {*edge.columns, "n_lines", "n_dropped"}
