@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,13 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, size: int = STEP_BYTES)
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Hands memory that a task no longer needs back to the machine; workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that no other task gives: the partition in the high bits, a counter in the low 33."""
     from pyspark import TaskContext

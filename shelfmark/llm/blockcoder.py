@@ -1,11 +1,13 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in lockstep.
 
-Each block has a model of its own that starts afresh. Orders 1 and 2 each
-predict one id from the ids before; how sure they are, and how often predictions
-held lately, are mixed in the logistic domain into the probability that the
-better prediction holds. Otherwise the id is coded in four-bit digits by the
-adaptive order-0 frequencies of the digits before. One numpy step codes the next
-id of all blocks; every number is an integer, so all machines decode alike.
+Each block has a model of its own that starts afresh. Orders 1 and 2 predict one
+id from the ids before; how sure each is, and how often predictions held lately,
+add up in the logistic domain to the probability that the prediction holds, and
+all three terms learn from every outcome. Where it doesn't hold, the id is coded
+by its order-0 frequency among the ids so far, counted again at the places of
+COUNTED; an id that has none yet follows an escape as a plain number. One numpy step
+codes the next id of all blocks; every number is an integer, so all machines
+decode alike.
 """
 
 from __future__ import annotations
@@ -14,234 +16,302 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, blocks coded together, entries of a prediction table, hashed rows of digit frequencies.
-BLOCK, LANES, TABLE, HASHED = 8192, 1024, 2048, 256
-_FIXED_ROWS = 1 + 16 + 256
-_ROWS = _FIXED_ROWS + HASHED
-_NONE = 0xFFFFF
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_U = np.uint64
-
-_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))), 48, 65488).astype(np.int64)
-_STRETCH = np.clip(np.searchsorted(_SQUASH, np.arange(0, 65536, 16)) - 2048, -2047, 2047).astype(np.int64)
-_TARGET = np.array([[i if i <= s else 32768 - 16 + i for i in range(16)] for s in range(16)], dtype=np.int16)
-_START = (np.arange(16) * 2048).astype(np.int16)
-
-
-class _Model:
-    """The models of some blocks; ``n`` is how many are still going."""
-
-    def __init__(self, lanes: int, digits: int):
-        self.digits = digits
-        self.lane = np.arange(lanes)
-        self.guess = [np.full(lanes * TABLE, _NONE, np.uint32) for _ in range(2)]  # the id in 20 bits, how often it held above
-        self.rows = np.tile(_START, (lanes * _ROWS, 1))
-        self.odds = [np.full(lanes * 16, 32768, np.int64) for _ in range(2)] + [np.full(lanes * 8, 32768, np.int64)]
-        self.weights = np.full((3, lanes), 24000, np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.history = np.zeros(lanes, np.int64)
+#: Ids of a block, blocks coded together, entries of a prediction table.
+BLOCK, LANES, TABLE = 8192, 1280, 1024
+#: Ids after which the frequencies are counted again, and the bits that they add up to.
+COUNTED = (32, 64, 128, 256, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144)
+BITS = 12
+#: Ids lie below 2**IDS; the coder's interval is of 48 bits and moves on by words of 16.
+IDS, WORD, FULL, LEAST = 20, 16, 1 << 48, 1 << 32
+_WHOLE, _ID = 1 << BITS, (1 << IDS) - 1
+_ESCAPE = 1 << IDS  # marks an escape in a packed entry: id or escape, frequency, start
+_NOTHING = _ESCAPE | _WHOLE << 24  # the entry of an escape before anything is counted
+_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256.0))), 256, 65280).astype(np.int64)
+#: How sure an entry is after a miss or a hit.
+_SURE = np.array([*(s >> 1 for s in range(8)), *(min(s + 1, 7) for s in range(8))], np.int64)
+_SURE[0:2] = 1  # a new id takes the place
+_SURE = (_SURE << IDS).astype(np.int32)
+#: Steps by which logits learn, as a power of two below the error of 65536.
+_RATE = 8
+
+
+class _Predictor:
+    """Orders 1 and 2 of some blocks; ``n`` is how many of them are still going. Both orders are rows of the same arrays."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.places = np.stack((lane * TABLE, (lane + lanes) * TABLE))
+        self.bases = np.stack((lane * 16, (lane + lanes) * 16, lane * 8 + lanes * 32))
+        self.guess = np.zeros(2 * lanes * TABLE, np.int32)  # the id, how sure it is above
+        of_sure = np.array([-512, *(-256 + 96 * s for s in range(1, 8))] * 2, np.int64)
+        self.logits = np.concatenate((np.tile(of_sure, 2 * lanes), np.full(lanes * 8, 2048, np.int64)))  # 2048 is even odds
+        self.context = np.zeros((2, lanes), np.int64)
+        self.lately = np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> None:
         """The predicted id of each block and the probability (of 65536) that it comes."""
-        lane, (one, two) = self.lane[:n], self.last[:, :n]
-        self.at = (lane * TABLE + ((one * 40503 >> 4) & (TABLE - 1)), lane * TABLE + ((one * 40503 + two * 30011 >> 3) & (TABLE - 1)))
-        self.entry = [self.guess[k].take(self.at[k]) for k in range(2)]
-        ids = [e & 0xFFFFF for e in self.entry]
-        sure = [(e >> 20).astype(np.int64) for e in self.entry]
-        agree = (ids[0] == ids[1]).astype(np.int64)
-        self.id = np.where(sure[1] > 0, ids[1], ids[0]).astype(np.int64)
-        self.slot = [lane * 16 + np.minimum(s, 7) * 2 + agree for s in sure] + [lane * 8 + self.history[:n]]
-        self.old = [self.odds[k].take(self.slot[k]) for k in range(3)]
-        self.stretched = [_STRETCH.take(o >> 4) for o in self.old]
-        mixed = sum(self.weights[k, :n] * self.stretched[k] for k in range(3)) >> 16
-        self.p = _SQUASH.take(mixed + 2048, mode="clip")
-
-    def learn(self, n: int, ids: np.ndarray, held: np.ndarray) -> None:
-        """``ids`` came; ``held`` tells where the prediction was right."""
-        goal = held.astype(np.int64) << 16
-        error = (goal - self.p) >> 4
-        for k in range(3):
-            self.weights[k, :n] += (self.stretched[k] * error + 8192) >> 14
-            old = self.old[k]
-            self.odds[k][self.slot[k]] = old + ((goal - old) >> 5)
-        self.history[:n] = (self.history[:n] << 1 | held) & 7
-        own = ids.astype(np.uint32)
-        for k in range(2):
-            old = self.entry[k]
-            sure = old >> 20
-            right = (old & 0xFFFFF) == own
-            self.guess[k][self.at[k]] = np.where(right, np.minimum(sure + 1, 15) << 20 | own, np.where(sure > 1, (sure >> 1) << 20 | (old & 0xFFFFF), 1 << 20 | own))
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
-
-    def row(self, base: np.ndarray, level: int, before: np.ndarray) -> np.ndarray:
-        """The frequency rows for the next digit after the digits ``before``; ``base`` is each lane's first row."""
-        if level == 0:
-            return base
-        if level <= 2:
-            return base + before + (1 if level == 1 else 17)
-        return base + (((before * 2654435761 >> 7) & (HASHED - 1)) + _FIXED_ROWS)
-
-    def adapt(self, at: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
-        change = _TARGET.take(digit, axis=0)
-        change -= rows
-        change >>= 5
-        change += rows
-        self.rows[at] = change
-
-
-def digits_for(most: int) -> int:
-    """Four-bit digits of ids up to ``most``."""
-    return max(3, -(-int(most).bit_length() // 4))
-
-
-def encode_blocks(blocks: list[np.ndarray], digits: int = 4) -> list[bytes]:
-    """The bytes of each block of ids; ids lie below 16**digits and 2**20 - 1."""
-    out: list = [b""] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    for at in range(0, len(order), LANES):
-        for k, coded in zip(order[at : at + LANES], _encode([blocks[k] for k in order[at : at + LANES]], digits)):
-            out[k] = coded
-    return out
+        self.at = ((self.context[:, :n] >> 4) & (TABLE - 1)) + self.places[:, :n]
+        entry = self.guess.take(self.at)
+        self.ids, self.sure = entry & _ID, entry >> IDS
+        self.id = np.where(self.sure[1] > 0, self.ids[1], self.ids[0])
+        self.slots = self.bases[:, :n].copy()
+        self.slots[:2] += self.sure
+        self.slots[:2] += (self.ids[0] == self.id) << 3
+        self.slots[2] += self.lately[:n]
+        self.held = self.logits.take(self.slots)
+        self.p = _SQUASH.take(self.held[0] + self.held[1] + self.held[2], mode="clip")
+
+    def learn(self, n: int, ids: np.ndarray, right: np.ndarray) -> None:
+        """``ids`` came; ``right`` tells where the prediction held."""
+        self.held += (np.where(right, 65536, 0) - self.p) >> _RATE
+        self.logits[self.slots] = self.held
+        lately = self.lately[:n]
+        lately += lately + right
+        lately &= 7
+        same = self.ids == ids
+        own = np.where(same | (self.sure < 2), ids, self.ids)
+        own |= _SURE.take(self.sure + (same << 3))
+        self.guess[self.at] = own
+        mixed, context = ids * np.int64(40503), self.context[:, :n]
+        context[1] = context[0] * 3 + mixed
+        context[0] = mixed
+
+
+class _Counts:
+    """Order-0 frequencies of the ids so far of some blocks, which add up to 2**BITS with that of the escape."""
+
+    def __init__(self, before: np.ndarray, escapes: np.ndarray, since: int):
+        """``before`` has a row of ids for each block; ``escapes`` says how many of the last ``since`` ids had no frequency."""
+        lanes, m = before.shape
+        own = np.sort(before, axis=1).reshape(-1)
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        new[::m] = True
+        at = np.flatnonzero(new)
+        ids, count, lane = own[at].astype(np.int64), np.diff(np.append(at, len(own))), at // m
+        escape = np.clip((escapes + 1) * _WHOLE // (since + 2), 8, _WHOLE * 7 // 8)
+        least, keep = np.ones(lanes, np.int64), np.ones(len(ids), bool)
+        while (over := np.bincount(lane[keep], minlength=lanes) > (_WHOLE - escape) // 2).any():  # the rarest ids go by the escape
+            least[over] += 1
+            keep &= count >= least[lane]
+        ids, count, lane = ids[keep], count[keep], lane[keep]
+        number = np.bincount(lane, minlength=lanes)
+        total = np.maximum(1, np.bincount(lane, count, minlength=lanes).astype(np.int64))
+        size = 1 + count * (_WHOLE - escape - number)[lane] // total[lane]
+        used = np.bincount(lane, size, minlength=lanes).astype(np.int64)
+        first = np.cumsum(number) - number
+        start = np.cumsum(size) - size
+        start -= (np.cumsum(used) - used)[lane]
+        # an entry for each id, and after those of a block one for its escape
+        self.first = first + np.arange(lanes)
+        where = np.arange(len(ids)) + lane
+        self.entries = np.full(len(ids) + lanes, _ESCAPE, np.int64)
+        self.entries[where] = ids
+        sizes, starts = np.empty(len(self.entries), np.int64), np.empty(len(self.entries), np.int64)
+        sizes[where], starts[where] = size, start
+        last = self.first + number
+        sizes[last], starts[last] = _WHOLE - used, used
+        self.entries |= (sizes << 24) | (starts << 40)
+        self.sizes, self.last, self.lane, self.where = sizes, last, lane, where
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each value below 2**BITS of each block the number of its entry, counted from the block's first one; and the first ones."""
+        own = np.arange(len(self.entries)) - self.first.repeat(self.last - self.first + 1)
+        return own.astype(np.uint16).repeat(self.sizes), self.first
+
+    def entries_of(self, ids: np.ndarray) -> np.ndarray:
+        """The entries of ids, a row for each block."""
+        out = np.empty(ids.shape, np.int64)
+        wide = int(max(ids.max(initial=0), (self.entries & _ID).max(initial=0))) + 1
+        some = max(1, (1 << 21) // wide)
+        place = np.zeros(some * wide, np.int64)
+        ends = np.searchsorted(self.lane, np.arange(0, len(ids) + some, some))
+        for k, low in enumerate(range(0, len(ids), some)):
+            mine = slice(ends[k], ends[k + 1])
+            own, lanes = self.entries[self.where[mine]], ids[low : low + some]
+            at = (self.lane[mine] - low) * wide + (own & _ID)
+            place[at] = own
+            found = place.take(np.arange(len(lanes))[:, None] * wide + lanes)
+            out[low : low + some] = np.where(found, found, self.entries[self.last[low : low + some]][:, None])
+            place[at] = 0
+        return out
+
+
+def _chunks(steps: int) -> list[tuple[int, int]]:
+    cuts = [0, *(c for c in COUNTED if c < steps), steps]
+    return list(zip(cuts, cuts[1:]))
+
+
+def encode_blocks(blocks: list[np.ndarray], bits: int = IDS) -> list[bytes]:
+    """The bytes of each block of ids, which lie below 2**bits; ``bits`` is IDS at most."""
+    return _in_lanes(blocks, [len(b) for b in blocks], _encode, bits, b"")
+
+
+def decode_blocks(coded: list[tuple[int, bytes]], bits: int = IDS) -> list[np.ndarray]:
+    """The ids of each (number of ids, bytes)."""
+    return _in_lanes(coded, [n for n, _ in coded], _decode, bits, np.zeros(0, np.uint32))
 
 
-def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int, shift) -> None:
-    """The intervals of the next symbols, in place; ``shift(need, low)`` moves the top 16 bits of settled ones."""
-    span >>= _U(bits)
-    low += span * start.astype(_U, copy=False)
-    span *= size.astype(_U, copy=False)
-    need = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOT))
-    while len(need):
-        lo, sp = low[need], span[need]
-        sp = np.where((lo ^ (lo + sp)) < _TOP, sp, (~lo + _U(1)) & (_BOT - _U(1)))
-        shift(need, lo)
-        lo <<= _U(16)
-        sp <<= _U(16)
-        low[need], span[need] = lo, sp
-        need = need[((lo ^ (lo + sp)) < _TOP) | (sp < _BOT)]
+def _in_lanes(held: list, lengths: list[int], code, bits: int, none) -> list:
+    """``code`` of the longest first, LANES at a time; ``none`` for those of no ids."""
+    out = [none] * len(held)
+    order = sorted((k for k in range(len(held)) if lengths[k]), key=lambda k: -lengths[k])
+    for at in range(0, len(order), LANES):
+        some = order[at : at + LANES]
+        for k, x in zip(some, code([held[k] for k in some], bits)):
+            out[k] = x
+    return out
 
 
-def _encode(blocks: list[np.ndarray], digits: int) -> list[bytes]:
+class _Writer:
+    """The intervals and words of some blocks."""
+
+    def __init__(self, lanes: int, words: int):
+        self.low, self.size = np.zeros(lanes, np.int64), np.full(lanes, FULL, np.int64)
+        self.words, self.used = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
+
+    def carry(self, some: np.ndarray) -> None:
+        """Adds one to the last word of those whose interval has left the range; sums above a word are mended at the end."""
+        if len(some):
+            self.words[some, self.used[some] - 1] += 1
+            self.low[some] -= FULL
+
+    def settle(self, need: np.ndarray) -> None:
+        """Writes out the words of small intervals, which no longer change but by a carry."""
+        while len(need):
+            self.shift(need)
+            size = self.size[need] << WORD
+            self.size[need] = size
+            need = need[size < LEAST]
+
+    def shift(self, need: np.ndarray) -> None:
+        at, low = self.used[need], self.low[need]
+        if at.max(initial=0) >= self.words.shape[1]:
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
+        self.words.reshape(-1)[need * self.words.shape[1] + at] = low >> 32
+        self.used[need] = at + 1
+        self.low[need] = (low & (LEAST - 1)) << WORD
+
+    def finish(self) -> list[bytes]:
+        every = np.arange(len(self.low))
+        for _ in range(3):
+            self.shift(every)
+        while (over := self.words >> WORD).any():
+            self.words &= 0xFFFF
+            self.words[:, :-1] += over[:, 1:]
+        return [self.words[k, : self.used[k]].astype("<u2").tobytes() for k in every]
+
+
+def _encode(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
-    lanes, steps = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((steps, lanes), np.uint32)
+    lanes, steps = len(blocks), int(lengths.max())
+    ids = np.zeros((lanes, steps), np.int32)
     for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model = _Model(lanes, digits)
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    words, used = np.zeros((lanes, max(64, steps)), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(where: np.ndarray, lo: np.ndarray) -> None:
-        nonlocal words
-        at = used[where]
-        if at.max(initial=0) >= words.shape[1] - 1:
-            words = np.concatenate((words, np.zeros_like(words)), axis=1)
-        words.reshape(-1)[where * words.shape[1] + at] = lo >> _U(48)
-        used[where] = at + 1
-
-    n, places = lanes, np.arange(0, 16 * lanes, 16)
-    for step in range(steps):
-        while lengths[n - 1] <= step:
+        ids[k, : len(b)] = b
+    model, out = _Predictor(lanes), _Writer(lanes, max(16, steps * 5 // 8))
+    escapes, since, n = np.zeros(lanes, np.int64), 0, lanes
+    for begin, end in _chunks(steps):
+        while lengths[n - 1] <= begin:
             n -= 1
-        now = ids[step, :n].astype(np.int64)
-        model.predict(n)
-        held = now == model.id
-        _narrow(low[:n], span[:n], np.where(held, 0, model.p), np.where(held, model.p, 65536 - model.p), 16, shift)
-        rest = np.flatnonzero(~held)
-        if len(rest):
-            own, before, place, base = now[rest], np.zeros(len(rest), np.int64), places[: len(rest)], rest * _ROWS
-            lo, sp = low[rest], span[rest]
-            for level in range(digits):
-                digit = own >> (4 * (digits - 1 - level)) & 15
-                at = model.row(base, level, before)
-                rows = model.rows.take(at, axis=0)
-                start, stop = _bounds(rows, place, digit)
-                _narrow(lo, sp, start, stop - start, 15, lambda need, x: shift(rest[need], x))
-                model.adapt(at, rows, digit)
-                before = before << 4 | digit
-            low[rest], span[rest] = lo, sp
-        model.learn(n, now, held)
-    every = np.arange(lanes)
-    for _ in range(4):
-        shift(every, low)
-        low <<= _U(16)
-    return [words[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def _bounds(rows: np.ndarray, place: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative frequencies below and up to the digits; ``place`` is where each row starts."""
-    flat = rows.reshape(-1)
-    at = place + digit
-    start = flat.take(at).astype(_U)
-    stop = flat.take(at + 1, mode="clip").astype(_U)
-    stop[digit == 15] = 32768
-    return start, stop
-
-
-def decode_blocks(coded: list[tuple[int, bytes]], digits: int = 4) -> list[np.ndarray]:
-    """The ids of each (number of ids, bytes)."""
-    out: list = [np.zeros(0, np.uint32)] * len(coded)
-    order = sorted(range(len(coded)), key=lambda k: -coded[k][0])
-    for at in range(0, len(order), LANES):
-        for k, ids in zip(order[at : at + LANES], _decode([coded[k] for k in order[at : at + LANES]], digits)):
-            out[k] = ids
-    return out
-
-
-def _decode(coded: list[tuple[int, bytes]], digits: int) -> list[np.ndarray]:
+        here = _Counts(ids[:n, :begin], escapes[:n], since) if begin else None
+        entries = (here.entries_of(ids[:n, begin:end]) if here else np.full((n, end), _NOTHING)).T.copy()
+        columns = ids[:n, begin:end].T.copy()
+        escapes, since = np.zeros(lanes, np.int64), end - begin
+        for now, entry in zip(columns, entries):
+            while lengths[n - 1] <= begin:
+                n -= 1
+            begin += 1
+            now, entry, low, size = now[:n], entry[:n], out.low[:n], out.size[:n]
+            model.predict(n)
+            right = model.id == now
+            hit = (size >> 16) * model.p
+            unit = (size - hit) >> BITS
+            low += np.where(right, 0, hit + unit * (entry >> 40))
+            size[:] = np.where(right, hit, unit * ((entry >> 24) & 0xFFFF))
+            out.carry(np.flatnonzero(low >= FULL))
+            out.settle(np.flatnonzero(size < LEAST))
+            plain = np.flatnonzero((entry & _ESCAPE) > (right * _ESCAPE))
+            if len(plain):
+                escapes[plain] += 1
+                for shift, width in _digits(bits):
+                    unit = size[plain] >> width
+                    low[plain] += unit * (now[plain] >> shift & ((1 << width) - 1))
+                    size[plain] = unit
+                    out.carry(plain[low[plain] >= FULL])
+                    out.settle(plain[unit < LEAST])
+            model.learn(n, now, right)
+    return out.finish()
+
+
+def _digits(bits: int) -> list[tuple[int, int]]:
+    """(shift, bits) of the parts in which a plain number is written."""
+    return [(0, bits)] if bits <= WORD else [(WORD, bits - WORD), (0, WORD)]
+
+
+def _decode(coded: list[tuple[int, bytes]], bits: int) -> list[np.ndarray]:
     lengths = np.array([n for n, _ in coded])
-    lanes, steps = len(coded), int(lengths.max(initial=0))
-    width = max(len(b) for _, b in coded) // 2 + 8
+    lanes, steps = len(coded), int(lengths.max())
+    width = max(len(b) for _, b in coded) // 2 + 4
     words = np.zeros((lanes, width), np.uint16)
     for k, (_, b) in enumerate(coded):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    flat = words.reshape(-1)
-    ids = np.zeros((steps, lanes), np.uint32)
-    model = _Model(lanes, digits)
-    low, span, used = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.full(lanes, 4, np.int64)
-    value = np.zeros(lanes, _U)
-    for k in range(4):
-        value = value << _U(16) | words[:, k].astype(_U)
-
-    def target(value: np.ndarray, low: np.ndarray, span: np.ndarray, bits: int) -> np.ndarray:
-        return np.minimum((value - low) // (span >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
-
-    def shifter(value: np.ndarray, numbers):
-        def shift(need: np.ndarray, _: np.ndarray) -> None:
-            some = need if numbers is None else numbers[need]
-            at = used[some]
-            value[need] = value[need] << _U(16) | flat[some * width + np.minimum(at, width - 1)].astype(_U)
-            used[some] = at + 1
-
-        return shift
-
-    n, places = lanes, np.arange(0, 16 * lanes, 16)
-    for step in range(steps):
-        while lengths[n - 1] <= step:
+    flat, used = words.reshape(-1), np.arange(lanes) * width + 3
+    stop = (np.arange(lanes) + 1) * width - 1
+    first = words[:, :3].astype(np.int64)
+    value, sizes = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2], np.full(lanes, FULL, np.int64)
+
+    def settle(need: np.ndarray) -> None:
+        while len(need):
+            at, size = used[need], sizes[need] << WORD
+            value[need] = value[need] << WORD | flat.take(np.minimum(at, stop[need]))
+            used[need], sizes[need] = at + 1, size
+            need = need[size < LEAST]
+
+    ids = np.zeros((lanes, steps), np.int32)
+    model, begins = _Predictor(lanes), np.arange(lanes) * _WHOLE
+    escapes, since, n = np.zeros(lanes, np.int64), 0, lanes
+    for begin, end in _chunks(steps):
+        while lengths[n - 1] <= begin:
             n -= 1
-        model.predict(n)
-        held = target(value[:n], low[:n], span[:n], 16) < model.p
-        _narrow(low[:n], span[:n], np.where(held, 0, model.p), np.where(held, model.p, 65536 - model.p), 16, shifter(value[:n], None))
-        now = model.id
-        rest = np.flatnonzero(~held)
-        if len(rest):
-            before, place, base = np.zeros(len(rest), np.int64), places[: len(rest)], rest * _ROWS
-            lo, sp, va = low[rest], span[rest], value[rest]
-            shift = shifter(va, rest)
-            for level in range(digits):
-                at = model.row(base, level, before)
-                rows = model.rows.take(at, axis=0)
-                digit = np.count_nonzero(rows <= target(va, lo, sp, 15).astype(np.int16)[:, None], axis=1) - 1
-                start, stop = _bounds(rows, place, digit)
-                _narrow(lo, sp, start, stop - start, 15, shift)
-                model.adapt(at, rows, digit)
-                before = before << 4 | digit
-            low[rest], span[rest], value[rest] = lo, sp, va
-            now = now.copy()
-            now[rest] = before
-        ids[step, :n] = now
-        model.learn(n, now, held)
-    return [ids[: lengths[k], k].copy() for k in range(lanes)]
+        if begin:
+            counts = _Counts(ids[:n, :begin], escapes[:n], since)
+            (slots, firsts), entries = counts.slots(), counts.entries
+        else:
+            slots, firsts, entries = np.zeros(n * _WHOLE, np.uint16), np.zeros(n, np.int64), np.array([_NOTHING])
+        columns = np.zeros((end - begin, n), np.int32)
+        escapes, since = np.zeros(lanes, np.int64), end - begin
+        for step, column in enumerate(columns, begin):
+            while lengths[n - 1] <= step:
+                n -= 1
+            v, size = value[:n], sizes[:n]
+            model.predict(n)
+            hit = (size >> 16) * model.p
+            over = v - hit
+            unit = (size - hit) >> BITS
+            right = over < 0
+            # exact: both are below 2**48, and a quotient below 2**12 that is no whole number lies far enough from one
+            place = np.minimum((over / unit).astype(np.int64), _WHOLE - 1)
+            entry = entries.take(slots.take(np.maximum(place, 0) + begins[:n]) + firsts[:n])
+            v[:] = np.where(right, v, over - unit * (entry >> 40))
+            size[:] = np.where(right, hit, unit * ((entry >> 24) & 0xFFFF))
+            settle(np.flatnonzero(size < LEAST))
+            now = column[:n]
+            now[:] = np.where(right, model.id, entry & _ID)
+            plain = np.flatnonzero((entry & _ESCAPE) > (right * _ESCAPE))
+            if len(plain):
+                escapes[plain] += 1
+                own = np.zeros(len(plain), np.int64)
+                for _, wide in _digits(bits):
+                    unit = size[plain] >> wide
+                    got = np.minimum(v[plain] // unit, (1 << wide) - 1)
+                    v[plain] -= unit * got
+                    size[plain] = unit
+                    own = own << wide | got
+                    settle(plain[unit < LEAST])
+                now[plain] = own
+            model.learn(n, now, right)
+        ids[: columns.shape[1], begin:end] = columns.T
+    return [ids[k, : lengths[k]].astype(np.uint32) for k in range(lanes)]
 
 
 def checksum(ids: np.ndarray) -> int:

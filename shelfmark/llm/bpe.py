@@ -1,19 +1,22 @@
 """BPE encoding and decoding with tree concatenation of long unsplit text.
 
-Text is cut where the pre-tokeniser always cuts: between a character that is no
-white space and a blank. A piece is encoded once and remembered. Stretches that
-the pre-tokeniser leaves unsplit and that are long are halved down to leaves,
-the leaves are encoded in one parallel batch, and halves are joined bottom-up:
-a window around the join is encoded anew and grows until its first and last
-token are the ones that the two sides already had. A token list is the encoding
-of its text when every two neighbours are the encoding of theirs, so agreement
-on both sides makes the joined list exact.
+The texts of a batch are cut where the pre-tokeniser always cuts: between a
+character that is no white space and a blank. Each distinct piece of the batch
+is encoded once: words of Latin letters by merging many of them in lockstep (see
+``merges``), others by the library. Stretches that the pre-tokeniser leaves unsplit and that
+are long are halved down to leaves, the leaves are encoded in one parallel batch,
+and halves are joined bottom-up: a window around the join is encoded anew and
+grows until its first and last token are the ones that the two sides already
+had. A token list is the encoding of its text when every two neighbours are the
+encoding of theirs, so agreement on both sides makes the joined list exact.
+Nothing is remembered from one batch to the next.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfmark.llm.arrowtext import column, steps
+from shelfmark.llm.arrowtext import column, release, steps
+from shelfmark.llm.merges import Merges
 
-#: Bytes of a leaf of the tree, tokens on each side of a first window, pieces remembered in a generation.
-LEAF, WINDOW, REMEMBERED = 512, 4, 250_000
-#: Bytes of text that are encoded together.
-STEP = 4 << 20
+#: Bytes of a leaf of the tree, tokens on each side of a first window.
+LEAF, WINDOW = 512, 4
+#: Bytes of text that are encoded together, and those of a word that is merged in lockstep at most.
+STEP, WORD = 4 << 20, 64
 
-_LOOSE = re.compile(r"\s ")
-_SAFE = re.compile(r"(?<=\S)(?= )")
+#: White space of ASCII, and the first two bytes of longer characters among which white space is.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE = [(0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+#: Letters of ASCII; marks of ASCII but the apostrophe, which may begin a stretch with letters; first bytes of Latin letters.
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_MARK = np.isin(np.arange(256), [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+_MARKED = re.compile(r"[!-&(-/:-@\[-`{-~][A-Za-z\u0080-\uffff]|[^!-&(-~\u00c0-\u023f]")
+_LATIN = np.isin(np.arange(256), [*range(0xC3, 0xC9)])
 
 
 def default_tokenizer() -> str:
@@ -46,56 +56,146 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of ``sizes`` that begin at ``starts``, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """The blanks that follow a character which surely is no white space."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    before = data[at - 1]
+    safe = ~_SPACE[before]
+    high = np.flatnonzero(before >= 0x80)
+    if len(high):
+        two, three = data[np.maximum(at[high] - 2, 0)], data[np.maximum(at[high] - 3, 0)]
+        safe[high] &= two != 0xC2
+        for first, second in _WIDE:
+            safe[high] &= (three != first) | (two != second)
+    return at[safe]
+
+
+def latin_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces are a blank or none, Latin letters and then marks, and where the marks begin."""
+    n = len(data)
+    lead = _LATIN[data]
+    after = np.zeros(n, bool)
+    after[1:] = lead[:-1]
+    following = np.zeros(n, np.uint8)
+    following[:-1] = data[1:]
+    sign = (data == 0xC3) & ((following == 0x97) | (following == 0xB7))  # of multiplication and division
+    letter = _LETTER[data] | (lead & ~sign) | (after & (data >= 0x80))
+    mark = _MARK[data]
+    bad = ~(letter | mark)
+    bad[1:] |= mark[:-1] & letter[1:]
+    first = starts.copy()
+    blank = data[np.minimum(starts, n - 1)] == 0x20
+    first[blank] += 1
+    wrong, marks = np.concatenate(([0], np.cumsum(bad))), np.concatenate(([0], np.cumsum(mark)))
+    inner = np.minimum(first + 1, ends)  # a mark before the piece's first letter says nothing
+    good = (first < ends) & (wrong[ends] == wrong[inner]) & letter[np.minimum(first, n - 1)]
+    return good, ends - (marks[ends] - marks[np.minimum(first, ends)])
+
+
 class Codec:
     """Encodes and decodes exactly as the tokenizer file's own library does, without added special tokens."""
 
-    def __init__(self, path: str, leaf: int = LEAF, remembered: int = REMEMBERED):
+    def __init__(self, path: str, leaf: int = LEAF):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.bare = Tokenizer(self.library.model)  # merges alone, on text in the byte alphabet
-        self.leaf, self.remembered = leaf, remembered
+        self.leaf = leaf
         self.names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         alphabet = byte_alphabet()
         self.bytes = [b""] * (max(self.names) + 1)
         for i, name in self.names.items():
             self.bytes[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
+        self.spelled = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.after_blank: dict[str, bytes] = {}  # pieces without their leading blank
-        self.plain: dict[str, bytes] = {}
-        self.old: tuple[dict, dict] = ({}, {})
+        made = json.loads(self.library.to_str())
+        split = made["pre_tokenizer"] or {}
+        #: Whether a blank after a character that is no white space always starts a piece.
+        self.cuts = made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not any(" " in t for t in self.special)
+        self.merges = Merges(made["model"], alphabet)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.after_blank) + len(self.plain) > self.remembered:
-            self.old, self.after_blank, self.plain = (self.after_blank, self.plain), {}, {}
-        split = []
-        for text in texts:
-            if not _LOOSE.search(text):
-                first, *rest = text.split(" ")
-                split.append(([first] if first else [], rest, None))
-            else:
-                pieces = _SAFE.split(text)
-                split.append(([], [], pieces))
-        blank, plain = self.after_blank, self.plain
-        self._learn(blank, self.old[0], {p for _, rest, _ in split for p in rest if p not in blank}, " ")
-        self._learn(plain, self.old[1], {p for first, _, pieces in split for p in (first if pieces is None else pieces) if p not in plain}, "")
-        get, whole = blank.__getitem__, plain.__getitem__
-        return [b"".join([*map(whole, first), *map(get, rest)] if pieces is None else map(whole, pieces)) for first, rest, pieces in split]
-
-    def _learn(self, known: dict, old: dict, new: set[str], lead: str) -> None:
-        for p in [p for p in new if p in old]:
-            known[p] = old[p]
-            new.discard(p)
-        short = [p for p in new if len(p) < self.leaf]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
-                known[p] = array("I", e.ids).tobytes()
-        long = [p for p in new if len(p) >= self.leaf]
-        for p, ids in zip(long, self.encode_long([lead + p for p in long])):
-            known[p] = array("I", ids).tobytes()
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another (u32), and how many ids there are up to each text's end; null is empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        places = np.zeros(len(data), bool)
+        if self.cuts:
+            places[cuts(data)] = True
+        places[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.append(np.flatnonzero(places), len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        ids, first, sizes = self._distinct(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        own = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        return ids[ragged(first[which], own)], ends[np.searchsorted(starts, bounds[1:])]
+
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces: ids, where those of each piece begin, how many they are."""
+        bounds = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[: bounds[-1]]
+        starts, ends = bounds[:-1], bounds[1:]
+        words = np.zeros(len(pieces), bool)
+        if self.cuts and self.merges.usable:
+            words, marks = latin_words(data, starts, ends)
+            words &= (ends - starts) <= min(WORD, self.leaf)
+            words[list(self._spelled_special(pieces, words))] = False
+        ids = [np.zeros(0, np.uint32)]
+        first, sizes, held = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
+        at = np.flatnonzero(words)
+        if len(at):
+            some, own = self.merges.encode(data, starts[at], marks[at])
+            tails = np.flatnonzero(marks[at] < ends[at])
+            more, more_own = self.merges.encode(data, marks[at][tails], ends[at][tails])
+            sizes[at] = own
+            sizes[at[tails]] += more_own
+            first[at] = np.cumsum(sizes[at]) - sizes[at]
+            joined = np.zeros(int(sizes.sum()), np.uint32)
+            joined[ragged(first[at], own)] = some
+            joined[ragged(first[at[tails]] + own[tails], more_own)] = more
+            ids.append(joined)
+            held = len(joined)
+        rest = np.flatnonzero(~words)
+        texts = [p.decode() for p in pieces.take(pa.array(rest)).to_pylist()]
+        long = [i for i, t in enumerate(texts) if len(t) >= self.leaf]
+        done = dict(zip(long, self.encode_long([texts[i] for i in long])))
+        short = [i for i in range(len(texts)) if i not in done]
+        for a in range(0, len(short), 20_000):
+            part = short[a : a + 20_000]
+            done |= zip(part, (e.ids for e in self.library.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)))
+        if done:
+            flat = [np.array(done[i], np.uint32) for i in range(len(texts))]
+            sizes[rest] = [len(x) for x in flat]
+            first[rest] = held + np.cumsum(sizes[rest]) - sizes[rest]
+            ids += flat
+        return np.concatenate(ids), first, sizes
+
+    def _spelled_special(self, pieces: pa.Array, words: np.ndarray) -> Iterator[int]:
+        """Numbers of words in which a special token is spelled."""
+        for token in self.special:
+            if not token or _MARKED.search(token):
+                continue  # letters after marks, or other characters, are in no word
+            yield from (i for i in np.flatnonzero(words).tolist() if token in pieces[i].as_py().decode())
 
     def encode_long(self, texts: list[str]) -> list[list[int]]:
         """Pre-tokenises each text and encodes the unsplit stretches, long ones as trees; all trees grow together."""
@@ -154,39 +254,50 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        """The UTF-8 text of ids as the library decodes them, special tokens included; broken sequences become U+FFFD."""
-        table = self.bytes
-        raw = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        """The UTF-8 text of ids as the library decodes them, special tokens included; see :meth:`decode_array`."""
+        own = np.frombuffer(ids, "<u4")
+        return self.decode_array(own, np.array([len(own)])).cast(pa.binary())[0].as_py()
+
+    def decode_array(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids one after another, cut at ``ends``. Broken sequences become U+FFFD; numbers that are no ids are left out, as in the library."""
+        known = np.minimum(ids, len(self.sizes) - 1)
+        sizes = np.where(ids < len(self.sizes), self.sizes[known], 0)
+        data = self.spelled[ragged(self.starts[known], sizes)]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode("utf-8", "replace").encode()
-        return raw
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
 
 _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec for each file in a Python worker, whose memory of pieces later tasks share."""
+    """One codec for each file in a Python worker."""
     if path not in _codecs:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _codecs[path] = Codec(path)
     return _codecs[path]
 
 
-def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices with an ``id`` and a ``text`` column, and the ids of their texts; null is empty."""
+def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices with an ``id`` and a ``text`` column, the ids of their texts and where each text's end; null is empty."""
     own = codec(path)
     for batch in steps(batches, "text", STEP):
-        yield batch, own.encode([t or "" for t in column(batch, "text").to_pylist()])
+        yield batch, *own.encode_array(column(batch, "text"))
+    release()
 
 
 def _runner(path: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded_steps(batches, path):
-            columns = [column(batch, "id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+        for batch, ids, ends in encoded_steps(batches, path):
+            bounds = np.concatenate(([0], ends))
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
+            columns = [column(batch, "id"), pa.array(np.diff(bounds)), held.cast(pa.binary())]
             if decode:
-                columns.append(pa.array([codec(path).decode(i) for i in ids], pa.binary()).cast(pa.string()))
+                columns.append(codec(path).decode_array(ids, ends))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     return run

@@ -20,20 +20,40 @@ def _local(folder: str) -> str | None:
     return at.path if at.scheme in ("", "file") else None
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
+def write_bytes(folder: str, name: str, held: bytes | memoryview) -> None:
+    """A file in the shared folder, written under another name and renamed."""
+    own = f".{name}-{uuid.uuid4().hex}"
     local = _local(folder)
     if local is not None:
         os.makedirs(local, exist_ok=True)
-        np.save(f"{local}/.{name}-{(own := uuid.uuid4().hex)}.npy", array)
-        os.replace(f"{local}/.{name}-{own}.npy", f"{local}/{name}.npy")
+        with open(f"{local}/{own}", "wb") as out:
+            out.write(held)
+        os.replace(f"{local}/{own}", f"{local}/{name}")
         return
     from pyarrow.fs import FileSystem
 
     system, path = FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
+    with system.open_output_stream(f"{path}/{own}") as out:
+        out.write(held)
+    system.move(f"{path}/{own}", f"{path}/{name}")
+
+
+def read_bytes(folder: str, name: str) -> bytes:
+    local = _local(folder)
+    if local is not None:
+        with open(f"{local}/{name}", "rb") as held:
+            return held.read()
+    from pyarrow.fs import FileSystem
+
+    system, path = FileSystem.from_uri(folder)
+    with system.open_input_file(f"{path}/{name}") as held:
+        return held.read()
+
+
+def save(folder: str, name: str, array: np.ndarray) -> None:
     np.save(held := io.BytesIO(), array)
-    with system.open_output_stream(f"{path}/{name}.npy") as out:
-        out.write(held.getvalue())
+    write_bytes(folder, f"{name}.npy", held.getbuffer())
 
 
 def load(folder: str, name: str) -> np.ndarray:
@@ -41,11 +61,7 @@ def load(folder: str, name: str) -> np.ndarray:
     local = _local(folder)
     if local is not None:
         return np.asarray(np.load(f"{local}/{name}.npy", mmap_mode="r"))
-    from pyarrow.fs import FileSystem
-
-    system, path = FileSystem.from_uri(folder)
-    with system.open_input_file(f"{path}/{name}.npy") as held:
-        return np.load(io.BytesIO(held.read()))
+    return np.load(io.BytesIO(read_bytes(folder, f"{name}.npy")))
 
 
 def pack(array: np.ndarray, rising: bool = False) -> bytes:

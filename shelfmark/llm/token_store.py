@@ -3,7 +3,7 @@
 A shard is one file, written by one task under another name and renamed:
 
     8 bytes   b"SHELFTOK"
-    4 x u32   version, digits of an id, number of blocks, number of documents
+    4 x u32   version, bits of an id, number of blocks, number of documents
     blocks    u32 ids, u32 bytes, u32 CRC-32 of the ids as little-endian u32, then the bytes
     documents i64 id (0 where null), u8 null, u32 ids with the end id
     u32       CRC-32 of all before
@@ -15,9 +15,7 @@ little-endian.
 from __future__ import annotations
 
 import io
-import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,55 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrowtext import column
+from shelfmark.llm.arrowtext import column, release
 from shelfmark.llm.blockcoder import BLOCK, LANES, checksum, decode_blocks, encode_blocks
 from shelfmark.llm.bpe import codec, default_tokenizer, encoded_steps
-from shelfmark.llm.sharedarrays import _local
+from shelfmark.llm.sharedarrays import read_bytes, write_bytes
 
-MAGIC, VERSION = b"SHELFTOK", 1
+MAGIC, VERSION = b"SHELFTOK", 2
 #: Bytes of text in a shard, and the id after each document.
-SHARD_BYTES, END_ID = 32 << 20, 2
-
-
-def write_bytes(folder: str, name: str, held: bytes) -> None:
-    local = _local(folder)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        own = f"{local}/.{name}-{uuid.uuid4().hex}"
-        with open(own, "wb") as out:
-            out.write(held)
-        os.replace(own, f"{local}/{name}")
-        return
-    from pyarrow.fs import FileSystem
-
-    system, path = FileSystem.from_uri(folder)
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/{name}") as out:
-        out.write(held)
-
-
-def read_bytes(folder: str, name: str) -> bytes:
-    local = _local(folder)
-    if local is not None:
-        with open(f"{local}/{name}", "rb") as held:
-            return held.read()
-    from pyarrow.fs import FileSystem
-
-    system, path = FileSystem.from_uri(folder)
-    with system.open_input_file(f"{path}/{name}") as held:
-        return held.read()
+SHARD_BYTES, END_ID = 24 << 20, 2
 
 
 class ShardWriter:
-    def __init__(self, digits: int):
-        self.digits, self.blocks, self.coded = digits, [], io.BytesIO()
+    def __init__(self, bits: int):
+        self.bits, self.coded = bits, io.BytesIO()
         self.count, self.ids, self.sizes = 0, [], []
         self.held: list[np.ndarray] = []
         self.waiting = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.sizes.append(len(ids))
+        self.extend([doc_id], ids, np.array([len(ids)]))
+
+    def extend(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents in order: their names, the ids of all of them, and how many each has."""
+        self.ids += doc_ids
+        self.sizes.append(sizes)
         self.held.append(ids)
         self.waiting += len(ids)
         if self.waiting >= LANES * BLOCK:
@@ -82,9 +55,10 @@ class ShardWriter:
 
     def _code(self, last: bool) -> None:
         whole = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
+        self.held.clear()
         end = len(whole) if last else len(whole) // BLOCK * BLOCK
         blocks = [whole[a : min(end, a + BLOCK)] for a in range(0, end, BLOCK)]
-        for ids, coded in zip(blocks, encode_blocks(blocks, self.digits)):
+        for ids, coded in zip(blocks, encode_blocks(blocks, self.bits)):
             self.coded.write(struct.pack("<III", len(ids), len(coded), checksum(ids)))
             self.coded.write(coded)
         self.count += len(blocks)
@@ -92,8 +66,8 @@ class ShardWriter:
 
     def finish(self) -> bytes:
         self._code(True)
-        out = MAGIC + struct.pack("<IIII", VERSION, self.digits, self.count, len(self.ids)) + self.coded.getvalue()
-        out += np.array([i or 0 for i in self.ids], "<i8").tobytes() + np.array([i is None for i in self.ids], "u1").tobytes() + np.array(self.sizes, "<u4").tobytes()
+        out = MAGIC + struct.pack("<IIII", VERSION, self.bits, self.count, len(self.ids)) + self.coded.getvalue()
+        out += np.array([i or 0 for i in self.ids], "<i8").tobytes() + np.array([i is None for i in self.ids], "u1").tobytes() + b"".join(n.astype("<u4").tobytes() for n in self.sizes)
         return out + struct.pack("<I", zlib.crc32(out))
 
 
@@ -103,7 +77,7 @@ def read_shard(held: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("not a token shard")
     if struct.unpack("<I", held[-4:])[0] != zlib.crc32(held[:-4]):
         raise ValueError("the shard's checksum is wrong")
-    version, digits, blocks, docs = struct.unpack_from("<IIII", held, 8)
+    version, bits, blocks, docs = struct.unpack_from("<IIII", held, 8)
     if version != VERSION:
         raise ValueError(f"unknown version {version}")
     at, coded = 24, []
@@ -117,7 +91,7 @@ def read_shard(held: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     rest, doc = np.zeros(0, np.uint32), 0
     for first in range(0, len(coded), LANES):
         own = coded[first : first + LANES]
-        ids = decode_blocks([(n, held[a : a + size]) for n, _, a, size in own], digits)
+        ids = decode_blocks([(n, held[a : a + size]) for n, _, a, size in own], bits)
         for (_, crc, _, _), x in zip(own, ids):
             if checksum(x) != crc:
                 raise ValueError("a block's checksum is wrong")
@@ -140,14 +114,16 @@ def _writer(folder: str, path: str, end_id: int):
         from pyspark import TaskContext
 
         writer = None
-        for batch, ids in encoded_steps(batches, path):
-            writer = writer or ShardWriter(max(3, -(-max(len(codec(path).bytes), end_id).bit_length() // 4)))
-            for name, own in zip(column(batch, "id").to_pylist(), ids):
-                writer.add(name, np.append(np.frombuffer(own, "<u4"), np.uint32(end_id)))
+        for batch, ids, ends in encoded_steps(batches, path):
+            writer = writer or ShardWriter(max(len(codec(path).sizes), end_id + 1, 2).bit_length())
+            writer.extend(column(batch, "id").to_pylist(), np.insert(ids, ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1)
         if writer:
             shard, held = TaskContext.get().partitionId(), writer.finish()
             write_bytes(folder, f"shard-{shard:06d}.tok", held)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([n], pa.int64()) for n in (len(writer.ids), sum(writer.sizes), len(held)))], names=["shard", "n_docs", "n_ids", "n_bytes"])
+            numbers = (len(writer.ids), int(sum(n.sum() for n in writer.sizes)), len(held))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([n], pa.int64()) for n in numbers)], names=["shard", "n_docs", "n_ids", "n_bytes"])
+            del writer, held
+            release()
 
     return run
 
@@ -179,6 +155,7 @@ def _reader(folder: str):
                         yield _rows(held)
                         held = []
                 yield _rows(held)
+                release()
 
     return run
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -21,22 +22,42 @@ def library():
 
 @pytest.fixture(scope="module")
 def small():
-    return bpe.Codec(bpe.default_tokenizer(), leaf=8, remembered=50)
+    return bpe.Codec(bpe.default_tokenizer(), leaf=8)
+
+
+@pytest.fixture(scope="module")
+def usual():
+    return bpe.Codec(bpe.default_tokenizer())
 
 
 def ids_of(held: bytes) -> list[int]:
     return np.frombuffer(held, "<u4").tolist()
 
 
-PARTS = ["a", "the", " ", "  ", "\n", "\t", "é", "'s", "'ll", "1", ".", " .", "<|endoftext|>", "x" * 30, "　", "\x85", "日本", "\r\n", "\x1c", "\xa0", "😀", "²", "́", "mentation"]
+PARTS = ["a", "the", " ", "  ", "\n", "\t", "é", "'s", "'ll", "1", ".", " .", "<|endoftext|>", "x" * 30, "　", "\x85", "日本", "\r\n", "\x1c", "\xa0", "😀", "²", "́", "mentation", "Straße", "naïve,", "×", "÷", "ÀȿɎ", "!!!", "don't", "_x", "ʼn", "ƻ", "ǅ", "“", "<|", "|>", "&amp;", " – "]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40).map("".join), max_size=4))
-def test_encoding_is_the_library_s(library, small, texts):
-    for text, held in zip(texts, small.encode(texts)):
+def test_encoding_is_the_library_s(library, small, usual, texts):
+    for text, held, again in zip(texts, small.encode(texts), usual.encode(texts)):
         want = library.encode(text, add_special_tokens=False).ids
-        assert ids_of(held) == want and small.decode(held).decode() == library.decode(want, skip_special_tokens=False)
+        assert ids_of(held) == ids_of(again) == want and small.decode(held).decode() == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    """A file whose pre-tokeniser differs is not cut at blanks."""
+    path = os.path.join(os.path.dirname(bpe.default_tokenizer()), name)
+    texts = ["the  mentation, of 12 words\n and – more", "", "ééé don't"]
+    own, theirs = bpe.Codec(path), Tokenizer.from_file(path)
+    assert [ids_of(held) for held in own.encode(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_that_do_not_exist_and_null_ids(spark, small):
+    assert small.decode(np.array([262, 60_000, 262], "<u4").tobytes()) == small.decode(np.array([262, 262], "<u4").tobytes())
+    rows = spark.createDataFrame([(1, None), (2, bytearray(np.array([262], "<u4").tobytes()))], "doc_id long, ids binary")
+    assert [r["text"] for r in bpe.decode(rows).orderBy("doc_id").collect()] == ["", " the"]
 
 
 def test_long_unsplit_text(library, small):
@@ -77,8 +98,19 @@ def test_blocks_round_trip():
     coded = blockcoder.encode_blocks(blocks)
     for want, got in zip(blocks, blockcoder.decode_blocks([(len(b), c) for b, c in zip(blocks, coded)])):
         assert (want == got).all()
+    again = blockcoder.decode_blocks([(len(b), c) for b, c in zip(blocks, blockcoder.encode_blocks(blocks, 17))], 17)
+    assert all((want == got).all() for want, got in zip(blocks, again))
     assert len(coded[-1]) < 60 and len(coded[-2]) < 200  # what repeats costs little
-    assert blockcoder.encode_blocks([]) == [] and blockcoder.digits_for(50_257) == 4
+    assert blockcoder.encode_blocks([]) == []
+
+
+@pytest.mark.parametrize("high", [3, 6000, 1 << 20])
+def test_long_blocks_round_trip(high):
+    """Blocks as long as in files: counts are taken many times, and rare ids go by the escape."""
+    rng = np.random.default_rng(high)
+    blocks = [np.minimum(rng.integers(0, high, n), rng.integers(0, high, n)).astype(np.uint32) for n in (8192, 8000, 6145, 6144, 33, 32, 1)]
+    for want, got in zip(blocks, blockcoder.decode_blocks([(len(b), c) for b, c in zip(blocks, blockcoder.encode_blocks(blocks))])):
+        assert (want == got).all()
 
 
 def test_store_query(spark, texts, library, monkeypatch):
@@ -105,7 +137,7 @@ def test_store_edges(spark, edge, empty, tmp_path, library):
 
 
 def test_damage_is_seen():
-    writer = token_store.ShardWriter(4)
+    writer = token_store.ShardWriter(16)
     for i in range(5):
         writer.add(i, np.arange(40 * i, dtype=np.uint32))
     held = writer.finish()
