@@ -9,19 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfmark.llm.storage import remove, stage_at
+from shelfmark.llm.storage import BROADCAST_ROWS, remove, stage_at
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges of a node from which on its edges are not shuffled to one task.
+HEAVY = 10_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+    """``edges`` joined with the least neighbour of each ``u``; a node of many edges never goes to one task.
+
+    With ``few`` edges the other side is broadcast. Otherwise only the heavy
+    nodes are, one for each HEAVY edges at most.
+    """
+    if few:
+        return edges.join(F.broadcast(least.drop("n")), "u")
+    heavy = F.broadcast(least.filter(F.col("n") > HEAVY).select("u", F.col("m").alias("heavy")))
+    marked = edges.join(heavy, "u", "left")
+    light = marked.filter("heavy IS NULL").drop("heavy").join(least.filter(F.col("n") <= HEAVY).drop("n"), "u")
+    return light.unionByName(marked.filter("heavy IS NOT NULL").withColumnRenamed("heavy", "m"))
+
+
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(down, least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -43,7 +61,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     now, path, mark = _staged(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), purpose)
     while mark[0]:
-        after, new_path, new_mark = _staged(_small_star(_large_star(now)).distinct(), purpose)
+        few = mark[0] <= BROADCAST_ROWS // 2  # a node for each end of an edge at most; a step makes no more edges
+        after, new_path, new_mark = _staged(_small_star(_large_star(now, few), few).distinct(), purpose)
         remove(now.sparkSession, path)
         now, path, before, mark = after, new_path, mark, new_mark
         if mark == before:

@@ -7,9 +7,11 @@ back, so a lost executor costs a re-read and never a recomputation.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,27 @@ def stage_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def with_places(docs: DataFrame, purpose: str) -> DataFrame:
+    """``docs`` as c0, c1, ... with the place of each row: ``_file`` (long, a hash of the path) and ``_row`` (long, the number in the file).
+
+    A place is the same however a scan is split into tasks, and however often it
+    is repeated. What isn't a scan of files, with filters and columns at most, is
+    written to the shared folder first.
+    """
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    path = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    placed = None
+    if node.nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # a format without row numbers
+            placed = docs.select("*", *path)
+    if placed is None:
+        placed = stage(named, purpose).select("*", *path)
+    return placed.toDF(*named.columns, "_file", "_row")
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

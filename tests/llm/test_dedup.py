@@ -240,6 +240,44 @@ def test_short_lines_and_letter_cases_meet(spark):
     assert sum({i, i + 100, i + 200} in got.values() for i in range(40)) >= 39
 
 
+def test_lines_of_one_template(spark):
+    """Lines of a template with some words replaced: many share a bucket without being similar, and similar ones aren't to be lost there."""
+    rnd = np.random.default_rng(8)
+    words = [random_words(rnd, 1) for _ in range(400)]
+    base = [words[k] for k in rnd.integers(0, 400, 60)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for k in rnd.integers(0, 60, int(rnd.integers(1, 5))):
+            own[k] = words[rnd.integers(0, 400)]
+        rows.append((i, " ".join(own)))
+    sets = [{t[j : j + line_dedup.SHINGLE] for j in range(len(t) - line_dedup.SHINGLE + 1)} for _, t in rows]
+    want = [(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) >= line_dedup.LEAST * len(sets[a] | sets[b])]
+    of = {r["id"]: r["component"] for r in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = sum(a in of and of[a] == of.get(b) for a, b in want)
+    assert len(want) > 100 and held >= 0.98 * len(want)
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Groups in one bucket of which none is small: hubs and splits find what pairs would."""
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    rnd = np.random.default_rng(9)
+    base = random_words(rnd, 60)[:300]
+    rows = [(100 * g + i, f"{base[:150]} {own} {base[150:]} {i}") for g in range(12) for own in [random_words(rnd, 12)[:70]] for i in range(8)]
+    got = defaultdict(set)
+    for r in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["component"]].add(r["id"])
+    want = {frozenset(i for i, _ in g) for g in brute_lines(rows)}
+    assert len(set(map(frozenset, got.values())) ^ want) <= 0.02 * len(want)
+
+
+def test_a_line_of_many_lines_loses_some(spark):
+    lines = [f"line {i} " + hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nanother one that stays")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == {1: ("\n".join(lines), 0), 2: ("another one that stays", 20_000)}
+
+
 def test_lines_edges(edge, empty):
     rows = line_dedup.dedup_lines(edge)
     assert set(rows.columns) == {*edge.columns, "n_lines", "n_dropped"}
