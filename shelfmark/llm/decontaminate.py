@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrowtext import column, steps, utf8
+from shelfmark.llm.arrowtext import column, release, steps, utf8
 
 #: Consecutive words in a window; an item of fewer words is one window.
 WINDOW = 10
@@ -81,7 +81,8 @@ def _shards(items: DataFrame, bound: int) -> list:
     return [sc.broadcast([(r["id"], r["text"].encode()) for r in part.collect()]) for part in parts]
 
 
-def _scanner(held: list, size: int, keep: list[str]):
+def _finder(held: list, size: int):
+    """A function from texts to (words, hit words, item ids, stretches) of each."""
     built: dict = {}
 
     def machine(k: int) -> ahocorasick.Automaton:
@@ -90,29 +91,50 @@ def _scanner(held: list, size: int, keep: list[str]):
             built[k] = automaton(held[k].value, size)
         return built[k]
 
+    def find(texts: list[bytes]) -> list[tuple[int, int, set, list]]:
+        split = [words(t) for t in texts]
+        normal = [(b" " + b" ".join(w) + b" ").decode("latin-1") if w else "" for w in split]
+        found = [(0, set(), [])] * len(texts)
+        if len(held) == 1:
+            found = [scan(t, x, [*map(len, w)], [machine(0)]) if w else f for t, x, w, f in zip(texts, normal, split, found)]
+        else:
+            ids: list[set] = [set() for _ in texts]
+            merged: list[list] = [[] for _ in texts]
+            for k in range(len(held)):
+                for i, (t, x, w) in enumerate(zip(texts, normal, split)):
+                    _, some, spans = scan(t, x, [*map(len, w)], [machine(k)]) if w else (0, set(), [])
+                    ids[i] |= some
+                    merged[i] += spans
+            found = [_merge(t, some, spans) for t, some, spans in zip(texts, ids, merged)]
+        return [(len(w), *f) for w, f in zip(split, found)]
+
+    return find
+
+
+def _scanner(held: list, size: int):
+    find = _finder(held, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            texts = [t or b"" for t in utf8(column(batch, "text"))]
-            split = [words(t) for t in texts]
-            normal = [(b" " + b" ".join(w) + b" ").decode("latin-1") if w else "" for w in split]
-            found = [(0, set(), [])] * len(texts)
-            if len(held) == 1:
-                found = [scan(t, x, [*map(len, w)], [machine(0)]) if w else f for t, x, w, f in zip(texts, normal, split, found)]
-            else:
-                ids: list[set] = [set() for _ in texts]
-                merged: list[list] = [[] for _ in texts]
-                for k in range(len(held)):
-                    for i, (t, x, w) in enumerate(zip(texts, normal, split)):
-                        _, some, spans = scan(t, x, [*map(len, w)], [machine(k)]) if w else (0, set(), [])
-                        ids[i] |= some
-                        merged[i] += spans
-                found = [_merge(t, some, spans) for t, some, spans in zip(texts, ids, merged)]
-            yield pa.RecordBatch.from_arrays(
-                [*(column(batch, c) for c in batch.schema.names if c in keep), pa.array([len(w) for w in split], pa.int64()), pa.array([f[0] for f in found], pa.int64()),
-                 pa.array([sorted(x for x in f[1] if x is not None) for f in found], pa.list_(pa.string())),
-                 pa.array([[{"start": a, "end": b} for a, b in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=[*(c for c in batch.schema.names if c in keep), "n_words", "n_hit", "items", "spans"],
-            )
+            found = find([t or b"" for t in utf8(column(batch, "text"))])
+            columns = [
+                pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                pa.array([sorted(x for x in f[2] if x is not None) for f in found], pa.list_(pa.string())),
+                pa.array([[{"start": a, "end": b} for a, b in f[3]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+            ]
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), *columns], names=["id", "n_words", "n_hit", "items", "spans"])
+        release()
+
+    return run
+
+
+def _keeper(held: list, size: int, text: str):
+    find = _finder(held, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            yield batch.filter(pa.array([not f[1] for f in find([t or b"" for t in utf8(column(batch, text).cast(pa.string()))])]))
+        release()
 
     return run
 
@@ -139,11 +161,6 @@ def _item_shards(benchmark: DataFrame, item_col: str, item_text_cols: tuple[str,
     return _shards(items.filter(F.col("text").isNotNull()), bound)
 
 
-def _scan(rows: DataFrame, held: list, window: int, keep: list[str]) -> DataFrame:
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
-    return rows.mapInArrow(_scanner(held, window, keep), ", ".join([*kept, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"]))
-
-
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_cols: tuple[str, ...] = ("text",), window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
@@ -161,7 +178,9 @@ def find_contamination(
     turn, with the same results. Further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _scan(rows, _item_shards(benchmark, item_col, item_text_cols, automaton_bytes), window, ["id"])
+    held = _item_shards(benchmark, item_col, item_text_cols, automaton_bytes)
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(_scanner(held, window), f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
     return found.withColumnRenamed("id", id_col).withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -169,8 +188,13 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",),
     window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` without a hit word, all columns unchanged."""
+    """The rows of ``docs`` without a hit word, all columns unchanged.
+
+    Null and empty texts stay, and all where the benchmark has no words. Repeated
+    rows are judged alike; an empty table gives no rows.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string"))
-    found = _scan(rows, _item_shards(benchmark, item_col, item_text_cols, automaton_bytes), window, names)
-    return found.filter(F.col("n_hit") == 0).select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    held = _item_shards(benchmark, item_col, item_text_cols, automaton_bytes)
+    return rows.mapInArrow(_keeper(held, window, names[docs.columns.index(text_col)]), schema).toDF(*docs.columns)

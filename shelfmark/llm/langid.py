@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrowtext import column, steps
-from shelfmark.llm.storage import fits
+from shelfmark.llm.arrowtext import column, release, steps
+from shelfmark.llm.storage import fits, stage
 
 #: Bytes of a window (a multiple of each width), filter widths, filters of a width, numbers of a byte.
 LENGTH, WIDTHS, FILTERS, DIM = 240, (2, 3, 4), 12, 8
@@ -30,7 +30,12 @@ UNKNOWN = "und"
 #: Windows that are scored together.
 BATCH = 512
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter, of the categories Lu, Ll, Lt, Lm and Lo; numbers such as \u00b2 and \u2167 are none."""
+    return bool(text) and (_PLAIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def to_windows(text: bytes) -> np.ndarray:
@@ -144,37 +149,53 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     some = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     some = some.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
     some = some.select("lang", "h", F.array(*[F.expr(f"substring(text, 1 + pmod(xxhash64(h, {k}), greatest(length(text) - {LENGTH - 40}, 1)), {LENGTH - 20})") for k in range(CUTS)]).alias("text"))
-    counts = fits(some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    counts = fits(stage(some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts"))
     low = F.pmod("h", F.lit(1 << 30)) < F.least(F.lit(1.0), (4.0 * rows + 100) / F.col("n")) * float(1 << 30)
     some = some.join(counts, "lang").filter(low)
     got = [(r["lang"], t) for r in some.withColumn("k", pick).filter(F.col("k") <= rows).orderBy("h", "lang", "text").collect() for t in dict.fromkeys(r["text"])]
-    got = [(lang, t.encode()[:LENGTH]) for lang, t in got if _LETTER.search(t)]
+    got = [(lang, t.encode()[:LENGTH]) for lang, t in got if has_letter(t)]
     return train([t for _, t in got], [lang for lang, _ in got]) if got else None
 
 
+def _names_of(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The language of each text, and its score."""
+    known = [i for i, t in enumerate(texts) if net and has_letter(t)]
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if known:
+        raw = [texts[i].encode() for i in known]
+        parts = [to_windows(t) for t in raw]
+        x = np.concatenate(parts)
+        p = np.concatenate([net.probabilities(x[a : a + BATCH]) for a in range(0, len(x), BATCH)])
+        starts = np.cumsum([0] + [len(w) for w in parts[:-1]])
+        weight = np.minimum(LENGTH, np.concatenate([len(t) - LENGTH * np.arange(len(w)) for t, w in zip(raw, parts)])).astype(np.float64)
+        mean = np.add.reduceat(p * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
+        for i, c, s in zip(known, mean.argmax(1).tolist(), mean.max(1).tolist()):
+            names[i], scores[i] = net.classes[c], min(1.0, s)
+    return names, scores
+
+
 def _predict(net: ByteNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            texts = column(batch, "text").to_pylist()
-            known = [i for i, t in enumerate(texts) if net and t and _LETTER.search(t)]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if known:
-                raw = [texts[i].encode() for i in known]
-                parts = [to_windows(t) for t in raw]
-                x = np.concatenate(parts)
-                p = np.concatenate([net.probabilities(x[a : a + BATCH]) for a in range(0, len(x), BATCH)])
-                starts = np.cumsum([0] + [len(w) for w in parts[:-1]])
-                weight = np.minimum(LENGTH, np.concatenate([len(t) - LENGTH * np.arange(len(w)) for t, w in zip(raw, parts)])).astype(np.float64)
-                mean = np.add.reduceat(p * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
-                for i, c, s in zip(known, mean.argmax(1).tolist(), mean.max(1).tolist()):
-                    names[i], scores[i] = net.classes[c], min(1.0, s)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in batch.schema.names), pa.array(names), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            names, scores = _names_of(net, column(batch, "text").to_pylist())
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(names), pa.array(scores)], names=["id", "lang_pred", "score"])
+        release()
 
     return run
 
 
-def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text", id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: id, lang_pred, score; with ``keep_text`` the text too.
+def _keep(net: ByteNet | None, text: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            names, scores = _names_of(net, column(batch, text).cast(pa.string()).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)]))
+        release()
+
+    return run
+
+
+def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs``: id, lang_pred, score.
 
     Every window of the whole text counts by its bytes. Texts that are null,
     empty or without a letter, and all texts where nothing could be learned, are
@@ -183,15 +204,16 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text", id_col
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    done = rows.mapInArrow(_predict(net), f"id {kind}, text string, lang_pred string, score double").withColumnsRenamed({"id": id_col, "text": text_col})
-    return done if keep_text else done.drop(text_col)
+    return rows.mapInArrow(_predict(net), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_known(docs: DataFrame, net: ByteNet | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, all columns unchanged."""
+    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, all columns unchanged.
+
+    Null and empty texts and those without a letter go, and all where nothing
+    could be learned. Repeated rows are judged alike; an empty table gives no rows.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    rows = docs.toDF(*names).withColumn("text", F.col(names[at]).cast("string"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
-    kept = rows.mapInArrow(_predict(net), schema).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_keep(net, names[docs.columns.index(text_col)], least), schema).toDF(*docs.columns)
