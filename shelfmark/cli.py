@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
-    given = {"warehouse": a.warehouse, "embed_batch": a.embed_batch, "backend": a.backend, "workers": a.workers or None}
+    given = {"warehouse": a.warehouse, "embed_batch": a.embed_batch, "backend": a.backend, "workers": a.workers}
     settings = replace(Settings.from_env(), **{k: v for k, v in given.items() if v is not None})
     spark = spark or SparkSession.builder.appName("shelfmark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship(spark)

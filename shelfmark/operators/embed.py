@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
+import re
 import time
 import urllib.error
 import urllib.request
 import zlib
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -19,6 +23,8 @@ from pyspark.sql import types as T
 from shelfmark.functions.text import bucket, tokens
 from shelfmark.functions.vector import bind, normalise
 
+log = logging.getLogger(__name__)
+
 
 class EmbeddingBackend(Protocol):
     name: str
@@ -69,6 +75,9 @@ class HttpBackend:
         return {"name": self.name, "url": self.url, "model": info.get("model_id"), "revision": info.get("model_sha")}
 
 
+_WORDS = re.compile(rb"[a-z0-9]+").findall
+
+
 class LexicalBackend:
     """A bag of words, hashed into buckets and normalised; texts without a word are zero vectors."""
 
@@ -78,59 +87,20 @@ class LexicalBackend:
         self.dims = dims
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import re
+        return [self._unit(Counter(zlib.crc32(w) % self.dims for w in _WORDS(t.lower().encode()))) for t in texts]
 
-        out = np.zeros((len(texts), self.dims))
-        for i, text in enumerate(texts):
-            for word in re.findall("[a-z0-9]+", text.lower()):
-                out[i, zlib.crc32(word.encode()) % self.dims] += 1
-        size = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, size, out=out, where=size > 0).tolist()
+    def _unit(self, counts: Counter[int]) -> list[float]:
+        vector = np.zeros(self.dims)
+        if counts:
+            vector[list(counts)] = list(counts.values())
+            vector /= np.sqrt(vector @ vector)
+        return vector.tolist()
 
     def describe(self) -> dict:
         return {"name": self.name, "dims": self.dims}
 
 
-class SyntheticBackend:
-    """A fixture with the faults that a gate must see.
-
-    ``groups`` gives a text's group. Modes: sound, noise, collapse, zero, short
-    (two vectors missing), unreachable.
-    """
-
-    name = "synthetic"
-
-    def __init__(self, mode: str, groups: dict[str, str], dims: int = 768, seed: int = 3):
-        if mode not in ("sound", "noise", "collapse", "zero", "short", "unreachable"):
-            raise ValueError(f"unknown mode {mode}")
-        self.mode, self.groups, self.dims, self.seed = mode, groups, dims, seed
-
-    def _direction(self, what: str) -> np.ndarray:
-        v = np.random.default_rng([self.seed, zlib.crc32(what.encode())]).normal(size=self.dims)
-        return v / np.linalg.norm(v)
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        if self.mode == "unreachable":
-            raise ConnectionError("connection refused")
-        if self.mode == "zero":
-            return [[0.0] * self.dims for _ in texts]
-        out = []
-        for i, text in enumerate(texts):
-            if self.mode == "collapse":
-                v = self._direction(f"point {i % 5}")
-            elif self.mode == "noise":
-                v = self._direction("text " + text)
-            else:
-                group = next((g for t, g in self.groups.items() if text.endswith(t)), "")
-                v = self._direction("group " + group) + 0.6 * self._direction("text " + text)
-            out.append((v / np.linalg.norm(v)).tolist())
-        return out[:-2] if self.mode == "short" else out
-
-    def describe(self) -> dict:
-        return {"name": self.name, "mode": self.mode}
-
-
-_BACKENDS: dict[str, Callable[..., EmbeddingBackend]] = {"lexical": LexicalBackend, "http": HttpBackend, "synthetic": SyntheticBackend}
+_BACKENDS: dict[str, Callable[..., EmbeddingBackend]] = {"lexical": LexicalBackend, "http": HttpBackend}
 
 
 def register_backend(name: str, factory: Callable[..., EmbeddingBackend]) -> None:
@@ -144,38 +114,69 @@ def get_backend(name: str | None = None, **how) -> EmbeddingBackend:
     return _BACKENDS[own](**how)
 
 
-def embed(df: DataFrame, make: Callable[[], EmbeddingBackend], batch_size: int = 128, workers: int | None = None, text_col: str = "title", field: str = "embedding", prefix: str = "") -> DataFrame:
-    """``df`` with the vector of ``prefix`` and the text; rows keep their order in a partition.
+def embed(df: DataFrame, make: Callable[[], EmbeddingBackend], batch_size: int = 128, workers: int = 4, text_col: str = "title", field: str = "embedding", prefix: str = "") -> DataFrame:
+    """``df`` with the vector of ``prefix`` and the text; rows stay in their partitions, in order.
 
-    A backend is made once a task and called with ``batch_size`` texts, fewer at
-    the end of a partition. ``workers`` bounds the calls at one time by the
-    number of partitions. A wrong number of vectors, or an error of the backend,
-    fails the job. Null texts get a null vector and are never sent.
+    A backend is made once a task. Calls have ``batch_size`` texts, only a
+    partition's last one fewer; ``workers`` of them are on the way at one time in
+    a task, and as many wait, so the cluster has that many for each of its cores.
+    A wrong number of vectors, or an error of the backend, fails the job. Null
+    texts get a null vector and are never sent.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size {batch_size}")
-    if workers is not None and workers < 1:
+    if workers < 1:
         raise ValueError(f"workers {workers}")
-    schema = df.drop(field).schema.add(field, T.ArrayType(T.FloatType()))
+    rows = df.drop(field)
+    schema = T.StructType([*rows.schema.fields, T.StructField(field, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = make()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            some = [i for i, t in enumerate(texts) if t is not None]
-            vectors: list = [None] * len(texts)
-            for at in range(0, len(some), batch_size):
-                part = some[at : at + batch_size]
-                found = backend.embed([prefix + texts[i] for i in part])
-                if len(found) != len(part):
-                    raise RuntimeError(f"the backend gave {len(found)} vectors, asked for {len(part)}")
-                for i, v in zip(part, found):
-                    vectors[i] = v
-            held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {field: pa.array(vectors, pa.list_(pa.float32()))}
-            yield pa.RecordBatch.from_arrays([held[n] for n in schema.names], names=schema.names)
-
-    rows = df.drop(field)
-    return (rows.repartition(workers) if workers else rows).mapInArrow(run, schema)
+        backend, began, sent = make(), time.time(), 0
+        held: deque[tuple[pa.RecordBatch, list, list[int]]] = deque()  # a batch, its vectors, how many are missing
+        calls: deque = deque()  # what is on the way, and where its vectors go
+        waiting: list[tuple[str, list, int, list[int]]] = []
+
+        def ask(part: list):
+            found = backend.embed([prefix + text for text, *_ in part])
+            if len(found) != len(part):
+                raise RuntimeError(f"the backend gave {len(found)} vectors, asked for {len(part)}")
+            return found
+
+        def settle() -> None:
+            call, part = calls.popleft()
+            for (_, vectors, i, missing), vector in zip(part, call.result()):
+                vectors[i] = vector
+                missing[0] -= 1
+
+        def ready(all_: bool = False) -> Iterator[pa.RecordBatch]:
+            while held and (all_ or not held[0][2][0]):
+                batch, vectors, _ = held.popleft()
+                columns = [batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float32()))], names=schema.names)
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                vectors, missing = [None] * len(texts), [sum(t is not None for t in texts)]
+                held.append((batch, vectors, missing))
+                waiting += [(t, vectors, i, missing) for i, t in enumerate(texts) if t is not None]
+                while len(waiting) >= batch_size:
+                    part, waiting = waiting[:batch_size], waiting[batch_size:]
+                    calls.append((pool.submit(ask, part), part))
+                    sent += len(part)
+                    if len(calls) > 2 * workers:
+                        settle()
+                        yield from ready()
+            if waiting:
+                calls.append((pool.submit(ask, waiting), waiting))
+                sent += len(waiting)
+            while calls:
+                settle()
+                yield from ready()
+            yield from ready(True)
+        log.info("%d texts embedded, %.1f a second", sent, sent / max(1e-9, time.time() - began))
+
+    return rows.mapInArrow(run, schema)
 
 
 def embed_cached(df: DataFrame, cache: DataFrame, make: Callable[[], EmbeddingBackend], revision: str, prefix: str = "", text_col: str = "title", field: str = "embedding", **how) -> DataFrame:

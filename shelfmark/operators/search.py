@@ -19,24 +19,23 @@ def postings(df: DataFrame, id_col: str, text_col: str, stemmed: bool = True) ->
 
 
 def match(df: DataFrame, id_col: str, text_col: str, query: str, stemmed: bool = True) -> DataFrame:
-    """(id) of the rows that have a term of the query."""
-    return postings(df, id_col, text_col, stemmed).join(F.broadcast(_terms(df, query, stemmed)), "term").select("id").distinct()  # a query's terms
-
-
-def _terms(df: DataFrame, query: str, stemmed: bool) -> DataFrame:
-    return df.sparkSession.range(1).select(F.explode(F.array_distinct(analyze(F.lit(query), stemmed))).alias("term"))
+    """(id) of each row that has a term of the query; one scan, nothing is shuffled. Repeated ids are repeated."""
+    return df.filter(F.arrays_overlap(analyze(F.col(text_col), stemmed), analyze(F.lit(query), stemmed))).select(F.col(id_col).alias("id"))
 
 
 def bm25_topk(df: DataFrame, id_col: str, text_col: str, query: str, k: int, stemmed: bool = True) -> DataFrame:
     """(id, score, place) of the best ``k`` rows; ties go to the smaller id.
 
-    Only postings of the query's terms are shuffled: lengths are aggregated
-    apart, and document frequencies of a handful of terms are broadcast.
+    A row keeps its length and the terms that the query has, so few of them are
+    shuffled; document frequencies of a handful of terms are broadcast. Two scans:
+    one for the mean length, one for the hits.
     """
+    wanted = F.array_distinct(analyze(F.lit(query), stemmed))
     texts = df.select(F.col(id_col).alias("id"), analyze(F.col(text_col), stemmed).alias("terms"))
     size = texts.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("terms")).alias("mean"))
-    wanted = _terms(df, query, stemmed)
-    hits = texts.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = texts.filter(F.arrays_overlap("terms", wanted))
+    each = F.transform(wanted, lambda w: F.struct(w.alias("term"), F.size(F.filter("terms", lambda t: t == w)).cast("long").alias("tf")))
+    hits = own.select("id", F.size("terms").alias("length"), F.inline(F.filter(each, lambda x: x["tf"] > 0)))
     df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

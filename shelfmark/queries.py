@@ -6,13 +6,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.config import Settings
 from shelfmark.functions import clean, scalar, text, vector
 from shelfmark.operators import embed, gates, knn, probes, products, sampling, search, upsert
+from shelfmark.plans import publish
+from shelfmark.plans.ingest import ingest_catalogue
 from shelfmark.sources.contract import Contract
 from shelfmark.sources.tables import lookup, table
 
@@ -314,11 +323,34 @@ def bow_cosine(spark, sf_dir):
     return sized.select("a", "b", F.round(F.col("dot") / (F.col("sa") * F.col("sb")), 6).alias("cosine"))
 
 
-@query()
+#: CRC-32 of a word w of ASCII, bit by bit, and the bucket counts of the lexical vectors of texts.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _hashed_sql(table_: str, key: str) -> str:
+    words = f"SELECT {key}, unnest({_LOWER}) AS w FROM {table_}"
+    crc = f"words AS ({words}), crc AS (SELECT w, {_CRC} % 768 AS bucket FROM (SELECT DISTINCT w FROM words))"
+    return f"{crc}, counts AS (SELECT {key}, bucket, count(*)::DOUBLE AS n FROM words JOIN crc USING (w) GROUP BY ALL)"
+
+
+@query(f"""
+WITH {_hashed_sql('documents', 'doc_id')}, sums AS (
+  SELECT doc_id, count(*) AS buckets, sum((bucket + 1) * n) / sqrt(sum(n * n)) AS moment, max(n) / sqrt(sum(n * n)) AS largest FROM counts GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(buckets, 0) AS INTEGER) AS buckets, round(coalesce(moment, 0), 1) AS moment, round(coalesce(largest, 0), 4) AS largest FROM documents LEFT JOIN sums USING (doc_id)
+""")
 def bow_hashed(spark, sf_dir):
-    """The lexical backend in expressions: norm and used buckets of each item's vector."""
-    held = embed.lexical_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return held.select("item_id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"), F.size(F.filter("embedding", lambda x: x != 0)).alias("buckets"))
+    """The lexical backend in expressions: used buckets, sum of places times weights and largest weight of each document's vector."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _moments(embed.lexical_vectors(rows, "doc_id", "text"), "doc_id")
+
+
+def _moments(held: DataFrame, key: str) -> DataFrame:
+    each = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return held.select(
+        key, F.size(F.filter("embedding", lambda x: x != 0)).alias("buckets"),
+        F.round(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), 1).alias("moment"), F.round(F.array_max("embedding").cast("double"), 4).alias("largest"),
+    )
 
 
 _GROUPED = f"SELECT item_id % 4 AS grp, item_id AS idx, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM benchmark"
@@ -367,15 +399,103 @@ def catalogue_stats(spark, sf_dir):
     return held.select(F.round("avg_price", 6).alias("avg_price"), F.round("avg_stars", 6).alias("avg_stars"), "best_sellers", "documents")
 
 
+_NAMES = ("shop_v1_20260101-0900", "shop_v3_20260722-1730", "shop_v9_other", "shop_v12", "shop", "shopping_v40")
+
+
 @query("""
-WITH v(name) AS (VALUES ('shop_v1_20260101-0900'),('shop_v3_20260722-1730'),('shop_v9_other'),('shop_v12'),('shop'),('shopping_v40'))
-SELECT coalesce(max(CAST(regexp_extract(name, '^shop_v([0-9]+)(_[0-9]{8}-[0-9]{4})?$', 1) AS INTEGER)), 0) + 1 AS next FROM v WHERE regexp_matches(name, '^shop_v([0-9]+)(_[0-9]{8}-[0-9]{4})?$')
+WITH v(name) AS (VALUES ('shop_v1_20260101-0900'),('shop_v3_20260722-1730'),('shop_v9_other'),('shop_v12'),('shop'),('shopping_v40')), b(base) AS (VALUES ('shop'), ('shopping'), ('other'))
+SELECT base, base || '_v' || (coalesce(max(TRY_CAST(regexp_extract(name, '^' || base || '_v([0-9]+)(_[0-9]{8}-[0-9]{4})?$', 1) AS INTEGER)), 0) + 1) || '_20270102-0304' AS next FROM b, v GROUP BY base
 """)
 def version_names(spark, sf_dir):
-    """The number after the highest version; odd suffixes don't count."""
-    names = spark.createDataFrame([(n,) for n in ("shop_v1_20260101-0900", "shop_v3_20260722-1730", "shop_v9_other", "shop_v12", "shop", "shopping_v40")], "name string")
-    n = F.regexp_extract("name", r"^shop_v(\d+)(?:_\d{8}-\d{4})?$", 1).try_cast("int")
-    return names.agg((F.coalesce(F.max(n), F.lit(0)) + 1).alias("next"))
+    """The name after the highest version of a base; odd suffixes don't count."""
+    now = datetime(2027, 1, 2, 3, 4)
+    return spark.createDataFrame([(base, publish.next_version(list(_NAMES), base, now)) for base in ("shop", "shopping", "other")], "base string, next string")
+
+
+def _catalogue(spark: SparkSession) -> publish.Catalogue:
+    """An empty catalogue in the folder that the session shares, removed when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        local = tempfile.mkdtemp(prefix="shelfmark-catalogue-")  # one machine: without the setting there is no folder that executors share
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        shared = f"file://{local}"
+    return publish.Catalogue(spark, f"{shared}/catalogue-{uuid.uuid4().hex[:12]}")
+
+
+def _order_contract() -> Contract:
+    kinds = {"o_orderkey": "long", "o_totalprice": "float", "o_orderstatus": "keyword"}
+    return Contract.from_mapping({"mappings": {"properties": {c: {"type": t} for c, t in kinds.items()}}}, "o_orderkey", ("o_orderkey", "o_orderstatus"))
+
+
+def _order_loads(spark: SparkSession, sf_dir: str) -> tuple[publish.Catalogue, list[publish.Loaded]]:
+    """Orders loaded twice: all but every third one, then half of all with other prices, of which every seventh has no status."""
+    catalogue, contract, name = _catalogue(spark), _order_contract(), "orders_v1"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderkey").alias("seq"))
+    key = F.col("o_orderkey")
+    catalogue.create(name, contract)
+    first = catalogue.load(name, rows.filter(key % 3 != 0), contract)
+    again = rows.filter(key % 2 == 0).withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("o_orderstatus", F.when(key % 7 != 0, F.col("o_orderstatus")))
+    return catalogue, [first, catalogue.load(name, again, contract)]
+
+
+_LOADED = """
+one AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0),
+two AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0),
+held AS (SELECT * FROM one WHERE o_orderkey NOT IN (SELECT o_orderkey FROM two) UNION ALL SELECT * FROM two)
+"""
+
+
+@query(f"WITH {_LOADED} SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice, o_orderstatus FROM held")
+def bulk_load(spark, sf_dir):
+    """Two bulk loads into a version, published and read back by its alias."""
+    catalogue, _ = _order_loads(spark, sf_dir)
+    catalogue.publish("orders", "orders_v1")
+    return catalogue.read("orders").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderstatus")
+
+
+@query("""
+SELECT 1 AS load, count(*) AS indexed, 0::BIGINT AS rejected, 0 AS examples, true AS timed FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT 2, count(*) FILTER (o_orderkey % 7 <> 0), count(*) FILTER (o_orderkey % 7 = 0), least(5, count(*) FILTER (o_orderkey % 7 = 0))::INTEGER, true FROM orders WHERE o_orderkey % 2 = 0
+""")
+def load_reports(spark, sf_dir):
+    """What each load says: documents, rejected rows, examples of them, and that it has a rate."""
+    _, loads = _order_loads(spark, sf_dir)
+    rows = [(i, x.indexed, x.rejected, len(x.examples), x.seconds > 0 and (x.rate > 0) == (x.indexed > 0)) for i, x in enumerate(loads, 1)]
+    return spark.createDataFrame(rows, "load int, indexed long, rejected long, examples int, timed boolean")
+
+
+@query(f"WITH {_LOADED} SELECT 1 AS files, count(*) AS documents, count(DISTINCT o_orderkey) AS keys FROM held")
+def compacted(spark, sf_dir):
+    """A version rewritten in one file has the documents that it had."""
+    catalogue, _ = _order_loads(spark, sf_dir)
+    _, files = catalogue.compact("orders_v1", 1)
+    keys = catalogue.read("orders_v1").agg(F.countDistinct("o_orderkey").alias("keys"))
+    return keys.select(F.lit(files).alias("files"), F.lit(catalogue.count("orders_v1")).alias("documents"), "keys")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 1")
+def rolled_back(spark, sf_dir):
+    """Two versions with a hidden vector; the alias goes forth and back, and what is displayed leaves the vector out."""
+    properties = {"vec_id": {"type": "long"}, "label": {"type": "long"}, "embedding": {"type": "dense_vector"}}
+    contract = Contract.from_mapping({"mappings": {"_source": {"excludes": ["embedding"]}, "properties": properties}}, "vec_id", ("vec_id",))
+    catalogue, rows = _catalogue(spark), table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
+    for name, rest in (("vectors_v1", 1), ("vectors_v2", 0)):
+        catalogue.load(name, rows.filter(F.col("vec_id") % 2 == rest), contract, "none")
+        catalogue.publish("vectors", name)
+    if catalogue.write_target("vectors", "vectors") != "vectors_v2" or catalogue.rollback("vectors", "vectors_v1") != ["vectors_v2"]:
+        raise ValueError("the alias is not where it was published to")
+    return catalogue.display("vectors", contract)
+
+
+@query(f'WITH {_RAW} SELECT {_DOCUMENT} FROM raw WHERE asin <> \'\'')
+def ingested_csv(spark, sf_dir):
+    """Raw rows written as CSV files and ingested by the catalogue plan: one document a key, read back from its index."""
+    catalogue = _catalogue(spark)
+    csv = f"{catalogue.root}/_csv"
+    raw_products(spark, sf_dir).drop("seq").coalesce(1).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(csv)
+    settings = replace(Settings(), warehouse=catalogue.root)
+    ingest_catalogue(spark, csv, settings)
+    return catalogue.read(settings.index).drop("ingested_at")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.none.at'), '-') AS missing FROM events")
@@ -439,11 +559,11 @@ def hybrid_rrf(spark, sf_dir):
     return search.fuse(by_text, knn.exact_topk(rows, probe, 20), 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(ORACLE_SQL["bow_hashed"])
 def batch_embed(spark, sf_dir):
-    """Texts through the batched backend call, a vector for each."""
-    held = embed.embed(table(spark, sf_dir, "benchmark"), embed.LexicalBackend, batch_size=16, workers=4, text_col="text")
-    return held.select("item_id", F.size("embedding").alias("dims"), F.round(vector.norm(F.col("embedding")), 4).alias("norm"))
+    """Documents through the batched backend call, a vector for each."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _moments(embed.embed(rows, embed.LexicalBackend, batch_size=64, workers=2, text_col="text"), "doc_id")
 
 
 @query("SELECT item_id AS qid, true AS found_itself FROM benchmark WHERE item_id < 5")
@@ -455,15 +575,24 @@ def text_authenticity(spark, sf_dir):
     return knn.authentic(vectors, texts, embed.LexicalBackend(), id_col="item_id")
 
 
-@query()
+@query(f"""
+WITH {_hashed_sql('benchmark', 'item_id')}, sizes AS (SELECT item_id, sqrt(sum(n * n)) AS size FROM counts GROUP BY item_id),
+probe AS (SELECT bucket, count(*)::DOUBLE AS n FROM (SELECT w, {_CRC} % 768 AS bucket FROM (SELECT unnest(['the', 'thing', 'of', 'that']) AS w)) GROUP BY bucket),
+dots AS (SELECT item_id, sum(c.n * p.n) AS dot FROM counts c JOIN probe p USING (bucket) GROUP BY item_id),
+scored AS (SELECT item_id AS id, 1 + coalesce(dot, 0) / size / (SELECT sqrt(sum(n * n)) FROM probe) AS score FROM sizes LEFT JOIN dots USING (item_id))
+SELECT round(score, 4) AS score, count(*) AS n FROM (SELECT score FROM scored ORDER BY score DESC, id LIMIT 10) GROUP BY 1
+""")
 def text_knn(spark, sf_dir):
-    """A query text against the lexical vectors of all items."""
+    """A query text against the lexical vectors of all items: the scores of the ten nearest, and how many have each."""
     items = table(spark, sf_dir, "benchmark")
     probe = knn.text_probes(spark, {0: "the thing of that"}, embed.LexicalBackend())
-    return knn.exact_topk(embed.lexical_vectors(items, "item_id", "text"), probe, 10, "item_id").select("id", F.round("score", 6).alias("score"), "place")
+    near = knn.exact_topk(embed.lexical_vectors(items, "item_id", "text"), probe, 10, "item_id")
+    return near.groupBy(F.round("score", 4).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS documents, count(DISTINCT o_orderkey) AS keys, count(*) = count(DISTINCT o_orderkey) AS distinct_keys, max(o_orderkey) AS highest FROM orders")
 def key_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders")
+    catalogue = _catalogue(spark)
+    catalogue.load("orders_v1", table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), _order_contract(), "none")
+    rows = catalogue.read("orders_v1")
     return rows.agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("o_orderkey").alias("keys"), (F.count(F.lit(1)) == F.countDistinct("o_orderkey")).alias("distinct_keys"), F.max("o_orderkey").alias("highest"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import SPOILS, LabelBackend
 from shelfmark.operators import embed, gates, knn, probes
 
 AISLES = {
@@ -10,9 +11,9 @@ AISLES = {
 }
 
 
-def gate(spark, mode, **how):
-    groups = {t: g for g, titles in probes.PROBE_GROUPS.items() for t in titles}
-    return gates.check_backend(spark, embed.SyntheticBackend(mode, groups, how.pop("dims", 64)), **how).first()
+def gate(spark, spoil=None, **how):
+    labels = {t: g for g, titles in probes.PROBE_GROUPS.items() for t in titles}
+    return gates.check_backend(spark, LabelBackend(labels, how.pop("dims", 64), SPOILS.get(spoil)), **how).first()
 
 
 def test_probe_set_is_sound(spark):
@@ -36,24 +37,24 @@ def test_aisles_do_not_cluster(spark):
 
 
 def test_sound_engine(spark):
-    row = gate(spark, "sound")
+    row = gate(spark)
     assert row["ok"] and (row["dims"], row["texts"], row["groups"]) == (64, 24, 6)
 
 
-@pytest.mark.parametrize("mode,says", [("noise", "nearest neighbour"), ("collapse", "same vector"), ("zero", "zero-length"), ("short", "asked for"), ("unreachable", "did not answer")])
-def test_faults(spark, mode, says):
-    row = gate(spark, mode)
+@pytest.mark.parametrize("spoil,says", [("alternating", "nearest neighbour"), ("one point", "same vector"), ("nothing", "zero-length"), ("first one lost", "asked for"), ("refused", "did not answer")])
+def test_faults(spark, spoil, says):
+    row = gate(spark, spoil)
     assert not row["ok"] and any(says in f for f in row["failures"])
-    if mode == "noise":
+    if spoil == "alternating":
         assert row["dims"] == 64
-    if mode == "collapse":
+    if spoil == "one point":
         assert row["duplicates"] > 0
-    if mode == "unreachable":
+    if spoil == "refused":
         assert "Ready" in row["failures"][0]
 
 
 def test_dimension_mismatch(spark):
-    row = gate(spark, "sound", dims=384, expect_dims=768)
+    row = gate(spark, dims=384, expect_dims=768)
     assert "384" in row["failures"][0] and "768" in row["failures"][0]
 
 

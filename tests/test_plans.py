@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.config import Settings
 from shelfmark.operators import embed, upsert
@@ -64,11 +65,18 @@ def test_vectors_are_published(spark, csv, settings):
     assert ingest_vectors(spark, csv, settings, recreate=False).target == done.target and catalogue.count(settings.vector_alias) == 3
 
 
+class Silent(embed.LexicalBackend):
+    """Answers with empty vectors."""
+
+    def embed(self, texts):
+        return [[0.0] * self.dims for _ in texts]
+
+
 def test_dry_run_runs_the_gate(spark, csv, settings):
     done = ingest_vectors(spark, csv, settings, dry_run=True)
     assert done.documents == 4 and done.sample[0]["dims"] == 768 and len(done.sample[0]["first"]) == 5
     with pytest.raises(GateFailed, match="zero-length"):
-        ingest_vectors(spark, csv, settings, dry_run=True, make=lambda: embed.SyntheticBackend("zero", {}))
+        ingest_vectors(spark, csv, settings, dry_run=True, make=Silent)
 
 
 def test_failed_gates_leave_the_alias(spark, csv, settings):
@@ -104,6 +112,48 @@ def test_pointer(spark, tmp_path):
         catalogue.publish("live", "none")
 
 
+def test_readers_of_a_version_see_it_whole(spark, tmp_path):
+    catalogue = Catalogue(spark, f"file://{tmp_path}/wh")
+    contract = Contract.from_mapping({"mappings": {"properties": {"id": {"type": "long"}, "v": {"type": "long"}}}}, "id", ("id",))
+    frame = lambda v: spark.range(100).select("id", F.lit(v).cast("long").alias("v"))
+    catalogue.load("x_v1", frame(1), contract, "none")
+    catalogue.publish("live", "x_v1")
+    reader = catalogue.read("live")
+    catalogue.load("x_v1", frame(2), contract, "none")
+    assert {r["v"] for r in reader.collect()} == {1}  # opened before the load, and its files stay
+    assert {r["v"] for r in catalogue.read("live").collect()} == {2}
+    catalogue.compact("x_v1", 1)
+    assert catalogue.files("x_v1") == 1 and catalogue.count("live") == 100
+    with pytest.raises(RuntimeError, match="another load"):
+        catalogue._advance("x_v1", "g000001-00000000", frame(3))
+    assert {r["v"] for r in catalogue.read("live").collect()} == {2} and not [n for n in catalogue.names() if n != "x_v1"]
+
+
+def test_calls_are_full_across_batches(spark):
+    class Counting:
+        """Says with each vector how many texts its call had."""
+
+        def embed(self, texts):
+            return [[float(len(texts))] for _ in texts]
+
+    class Losing:
+        def embed(self, texts):
+            return [[1.0]] * (len(texts) - 1)
+
+    frame = spark.range(1000, numPartitions=1).select("id", F.when(F.col("id") % 10 > 0, F.col("id").cast("string")).alias("title"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        rows = embed.embed(frame, Counting, batch_size=64, workers=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["id"] for r in rows] == list(range(1000)) and all((r["embedding"] is None) == (r["id"] % 10 == 0) for r in rows)
+    assert [r["embedding"][0] for r in rows if r["embedding"]] == [64.0] * 896 + [4.0] * 4
+    with pytest.raises(Exception, match="vectors, asked for"):
+        embed.embed(frame, Losing, batch_size=64).collect()
+    with pytest.raises(ValueError, match="workers"):
+        embed.embed(frame, Counting, workers=0)
+
+
 def test_contract(spark):
     contract = product_contract(4)
     assert contract.vector_dims() == 4 and contract.hidden == {"embedding"} and product_contract().vector_dims() is None
