@@ -1,7 +1,9 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items.
 
-Each text is normalised to its words with one blank between, scanned once, and
-every match is mapped back to word numbers and to offsets in the original.
+The automaton's letters are the numbers of the items' words, so a window of ten
+words is ten states, not one for each byte. Each text is normalised to its words,
+scanned once by their numbers, and every match is mapped back to word numbers and
+to offsets in the original.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from shelfmark.llm.arrowtext import column, release, steps, utf8
 
 #: Consecutive words in a window; an item of fewer words is one window.
 WINDOW = 10
-#: Bytes of item text in one automaton; larger benchmarks are split over several.
-AUTOMATON_BYTES = 32 << 20
+#: Bytes of item text in one automaton, which takes about 90 times as much memory in each worker; larger benchmarks are split over several.
+AUTOMATON_BYTES = 4 << 20
 
 #: Lower-cases A-Z and blanks every other ASCII byte but digits and a-z; bytes of other characters stay.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -31,36 +33,44 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
-    """The windows of an item, each with a blank before, between and after its words."""
+def windows(text: bytes | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
+    """The windows of an item as their words."""
     found = words(text)
-    return [b" " + b" ".join(found[i : i + size]) + b" " for i in range(max(1, len(found) - size + 1))] if found else []
-
-
-def automaton(items: list[tuple[str | None, bytes | None]], size: int = WINDOW) -> ahocorasick.Automaton:
-    """Values are (number of words, ids of the items that have the window)."""
-    holders: dict[bytes, set] = {}
-    for item, text in items:
-        for window in windows(text, size):
-            holders.setdefault(window, set()).add(item)
-    built = ahocorasick.Automaton()
-    for window, ids in holders.items():
-        built.add_word(window.decode("latin-1"), (window.count(b" ") - 1, frozenset(ids)))
-    if holders:
-        built.make_automaton()
-    return built
-
-
-def scan(text: bytes, normal: bytes, lengths: list[int], machines: list[ahocorasick.Automaton]) -> tuple[int, set, list[tuple[int, int]]]:
-    """Hit words, item ids, and (start, end) of each hit stretch in code points of the original."""
-    found = [m for machine in machines if len(machine) for m in machine.iter(normal)]
+    return [tuple(found[i : i + size]) for i in range(max(1, len(found) - size + 1))] if found else []
+
+
+class Machine:
+    """The automaton of items; its values are (number of words, ids of the items that have the window)."""
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int = WINDOW):
+        holders: dict[tuple[int, ...], set] = {}
+        self.numbers: dict[bytes, int] = {}  # of words, from 1; 0 is any other word
+        for item, text in items:
+            for window in windows(text, size):
+                holders.setdefault(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window), set()).add(item)
+        self.built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, ids in holders.items():
+            self.built.add_word(window, (len(window), frozenset(ids)))
+        self.empty = not holders
+        if holders:
+            self.built.make_automaton()
+
+    def matches(self, found: list[bytes]) -> list[tuple[int, tuple[int, frozenset]]]:
+        """(last word, value) of each window that occurs in a sequence of words."""
+        if self.empty:
+            return []
+        number = self.numbers.get
+        return list(self.built.iter(tuple([number(w, 0) for w in found])))
+
+
+def scan(text: bytes, split: list[bytes], machine: Machine) -> tuple[int, set, list[tuple[int, int]]]:
+    """Hit words, item ids, and (start, end) of each hit stretch in code points of the original, whose words are ``split``."""
+    found = machine.matches(split)
     if not found:
         return 0, set(), []
-    ends = np.cumsum(np.asarray(lengths) + 1)  # of the blank after each word, in the normalised text
-    hit = np.zeros(len(lengths) + 1, dtype=np.int64)
+    hit = np.zeros(len(split) + 1, dtype=np.int64)
     ids: set = set()
-    for end, (size, holders) in found:
-        last = int(np.searchsorted(ends, end))
+    for last, (size, holders) in found:
         hit[last - size + 1] += 1
         hit[last + 1] -= 1
         ids |= holders
@@ -85,24 +95,22 @@ def _finder(held: list, size: int):
     """A function from texts to (words, hit words, item ids, stretches) of each."""
     built: dict = {}
 
-    def machine(k: int) -> ahocorasick.Automaton:
+    def machine(k: int) -> Machine:
         if k not in built:
             built.clear()  # one at a time
-            built[k] = automaton(held[k].value, size)
+            built[k] = Machine(held[k].value, size)
         return built[k]
 
     def find(texts: list[bytes]) -> list[tuple[int, int, set, list]]:
         split = [words(t) for t in texts]
-        normal = [(b" " + b" ".join(w) + b" ").decode("latin-1") if w else "" for w in split]
-        found = [(0, set(), [])] * len(texts)
         if len(held) == 1:
-            found = [scan(t, x, [*map(len, w)], [machine(0)]) if w else f for t, x, w, f in zip(texts, normal, split, found)]
+            found = [scan(t, w, machine(0)) for t, w in zip(texts, split)]
         else:
             ids: list[set] = [set() for _ in texts]
             merged: list[list] = [[] for _ in texts]
             for k in range(len(held)):
-                for i, (t, x, w) in enumerate(zip(texts, normal, split)):
-                    _, some, spans = scan(t, x, [*map(len, w)], [machine(k)]) if w else (0, set(), [])
+                for i, (t, w) in enumerate(zip(texts, split)):
+                    _, some, spans = scan(t, w, machine(k))
                     ids[i] |= some
                     merged[i] += spans
             found = [_merge(t, some, spans) for t, some, spans in zip(texts, ids, merged)]

@@ -59,7 +59,7 @@ def test_near_copies_stage(stages):
 def test_benchmark_stage(spark, stages):
     from shelfmark.llm.decontaminate import windows, words
 
-    held = [w for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in windows(r["text"].encode())]
+    held = [w for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in (b" " + b" ".join(x) + b" " for x in windows(r["text"].encode()))]
     clean = {r["doc_id"] for r in stages[2].collect() if not any(h in b" " + b" ".join(words(r["text"].encode())) + b" " for h in held)}
     assert {r["doc_id"] for r in stages[3].collect()} == clean
 
