@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +25,12 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; an own one only where that is unset."""
+    """The shared folder named by the session; an own one only where that is unset and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="shelfmark-shared-")
@@ -42,6 +47,8 @@ def new_path(spark: SparkSession, purpose: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table; a folder that is gone already, or a stopped session, is no error."""
     if spark.sparkContext._jsc is None:
+        if path.startswith("file:"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
         return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
