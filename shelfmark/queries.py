@@ -335,8 +335,9 @@ def _hashed_sql(table_: str, key: str) -> str:
 
 
 @query(f"""
-WITH {_hashed_sql('documents', 'doc_id')}, sums AS (
-  SELECT doc_id, count(*) AS buckets, sum((bucket + 1) * n) / sqrt(sum(n * n)) AS moment, max(n) / sqrt(sum(n * n)) AS largest FROM counts GROUP BY doc_id)
+WITH {_hashed_sql('documents', 'doc_id')}, sizes AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM counts GROUP BY doc_id),
+weights AS (SELECT doc_id, bucket, CAST(CAST(n / size AS FLOAT) AS DOUBLE) AS x FROM counts JOIN sizes USING (doc_id)),
+sums AS (SELECT doc_id, count(*) AS buckets, sum((bucket + 1) * x) AS moment, max(x) AS largest FROM weights GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(buckets, 0) AS INTEGER) AS buckets, round(coalesce(moment, 0), 1) AS moment, round(coalesce(largest, 0), 4) AS largest FROM documents LEFT JOIN sums USING (doc_id)
 """)
 def bow_hashed(spark, sf_dir):
