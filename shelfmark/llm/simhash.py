@@ -5,6 +5,11 @@ sample; a fingerprint whose ball crosses a shard's border also visits the shards
 beyond it, so pairs across borders are found exactly. Each shard grows its own
 tree, prunes by the triangle inequality and keeps a spanning forest of its pairs;
 the forests meet in distributed connected components.
+
+Fingerprints of few differing bits miss most near copies of a Jaccard similarity
+of 0.8, and at the radius those need (some 17 of 64 bits) a tree prunes nothing.
+Where rows are dropped, the pairs that the trees find are therefore joined by those
+that share a MinHash band, and all are checked by the exact similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -17,30 +22,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.arrowtext import column, steps, utf8
+from shelfmark.llm.arrowtext import column, release, signed, steps, utf8
 from shelfmark.llm.components import components
-from shelfmark.llm.storage import fits, stage
+from shelfmark.llm.line_dedup import BANDS, BINS, ROWS, TURNS, linked
+from shelfmark.llm.storage import fits, stage, with_places
 
 SEED = 42
 #: Words in a shingle and differing bits of a link, as the digest query has them.
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints that the top tree is grown from, points of a leaf, and those of a shard.
 SAMPLE, LEAF, SHARD = 4096, 48, 65536
+#: Pairs of a row that meet its text in one task, about.
+HUB = 1000
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
-    """64 bits, each set if it is in over half of the shingles' hashes; 0 without words."""
+def _hashes(text: bytes | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     found = text.lower().split() if text else []  # bytes: A-Z only, and blanks are space and tab to carriage return
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(found[i:] for i in range(size)))) if len(found) >= size else [b" ".join(found)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """64 bits, each set if it is in over half of the shingles' hashes; 0 without words."""
+    return _majority(_hashes(text, size))
+
+
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -178,15 +194,19 @@ def _search(radius: int):
     return run
 
 
-def link_fingerprints(marks: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Distinct ``fp`` to (node, component) of the links at ``radius`` or fewer differing bits; lone ones are left out."""
+def fingerprint_edges(marks: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Distinct ``fp`` to (u, v): a spanning forest of the links of each shard at ``radius`` or fewer differing bits."""
     total = marks.count()
     some = [r[0] for r in marks.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, total // 8)).collect()]  # a bounded sample
     points = np.array(some, dtype=np.int64).view(np.uint64)
     tree = VantageTree(points, max(8, len(points) * shard // max(1, total)), radius)
     dealt = marks.select("fp").mapInArrow(_dealer(tree), "shard int, fp long, home boolean")
-    edges = dealt.repartitionById(max(1, tree.leaves), F.col("shard")).mapInArrow(_search(radius), "u long, v long")
-    return components(edges, "simhash")
+    return dealt.repartitionById(max(1, tree.leaves), F.col("shard")).mapInArrow(_search(radius), "u long, v long")
+
+
+def link_fingerprints(marks: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Distinct ``fp`` to (node, component) of the links at ``radius`` or fewer differing bits; lone ones are left out."""
+    return components(fingerprint_edges(marks, radius, shard, sample), "simhash")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
@@ -208,18 +228,98 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 3) -> DataFrame:
+def signature(hashes: np.ndarray) -> tuple[list[int | None], int, int]:
+    """Band keys and the two words of the sketch of a set of sorted shingle hashes, as line dedup has them."""
+    at = (hashes & np.uint64(0xFFFF)) % np.uint64(BINS)
+    bins, first = np.unique(at, return_index=True)  # of sorted hashes the first one of a bin is its least
+    own = dict(zip(bins.tolist(), (hashes[first] >> np.uint64(33)).tolist()))
+    full = [next((own[k] for k in (j, *((j * t + 1) % BINS for t in TURNS)) if k in own), -1) for j in range(BINS)]
+    parts = [full[k * ROWS : (k + 1) * ROWS] for k in range(BANDS)]
+    keys = [None if max(p) < 0 else xxhash.xxh64_intdigest(np.array([k, *p], dtype="<i8").tobytes(), SEED) for k, p in enumerate(parts)]
+    return keys, sum((m & 1) << j for j, m in enumerate(full)), sum((m >> 1 & 1) << j for j, m in enumerate(full))
+
+
+def _signer(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            marks, ends, keys, sketches = [], [], [], []
+            for text in utf8(column(batch, "text")):
+                hashes = _hashes(text, size)
+                own = np.unique(hashes)
+                marks.append(_majority(hashes))
+                ends.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes(), SEED), dtype="<i8"))
+                k, lo, hi = signature(own)
+                keys.append([None if x is None else x - (x >> 63 << 64) for x in k])
+                sketches.append((lo, hi))
+            h, g = np.stack(ends).T
+            lo, hi = np.array(sketches, dtype=np.int64).T
+            fields = [column(batch, n) for n in ("_file", "_row", "id")]
+            made = [pa.array(h.copy()), pa.array(g.copy()), pa.array(signed(marks)), pa.array(keys, pa.list_(pa.int64())), pa.array(lo.copy()), pa.array(hi.copy())]
+            yield pa.RecordBatch.from_arrays(fields + made, names=["_file", "_row", "id", "h", "g", "fp", "keys", "lo", "hi"])
+        release()
+
+    return run
+
+
+def _checker(size: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # rows come in the order of the last join, so a hub is hashed once in a row
+        for batch in steps(batches, "b"):
+            keep = []
+            for v, a, b in zip(column(batch, "v").to_pylist(), utf8(column(batch, "a")), utf8(column(batch, "b"))):
+                if v != last:
+                    last, held = v, np.unique(_hashes(b, size))
+                own = np.unique(_hashes(a, size))
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                keep.append(both >= least * (len(own) + len(held) - both))
+            yield pa.RecordBatch.from_arrays([column(batch, "u"), column(batch, "v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
+
+    return run
+
+
+def _with_text(pairs: DataFrame, end: str, other: str, texts: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with the text of one end; an end of many pairs is dealt to several tasks, its text to each."""
+    many = fits(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select(end, F.expr(f"n div {HUB}").alias("parts")))
+    dealt = pairs.join(many, end, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts") + 1), F.lit(0))).drop("parts")
+    copies = texts.withColumnsRenamed({"lid": end, "text": name}).join(many, end, "left")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0)).cast("long")))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 3, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near copies, all columns unchanged.
 
-    Of a group the row with the smallest id stays (null last; of repeated rows
-    the first in scan order). ``docs`` is scanned more than once and must give
-    the same rows in the same partitions each time, as files do.
+    Two rows are near copies if the Jaccard similarity of their sets of shingles of
+    ``size`` words is ``least`` or more; groups are what is reachable. Candidates
+    are fingerprints at ``radius`` or fewer differing bits, found by the trees, and
+    rows that share a MinHash band: a pair at 0.8 does with probability 0.999.
+    Texts of fewer words are one shingle; null, empty and blank texts are copies of
+    each other. Of a group the row with the smallest id stays (null last; of
+    repeated rows the first by place). An empty table gives no rows.
     """
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("row", F.monotonically_increasing_id())
-    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col)}
-    groups = simhash_groups(rows, "row", at[text_col], size, radius).select("row", F.col("component_id").alias("component"))
-    groups = stage(groups.join(rows.select("row", F.col(at[id_col]).alias("id")), "row"), "simhash-groups")
-    best = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
-    gone = stage(groups.join(best.filter("n > 1"), "component").filter(F.col("row") != F.col("best.row")).select("row"), "simhash-gone")
-    return rows.join(fits(gone), "row", "left_anti").select(*names).toDF(*docs.columns)
+    placed = with_places(docs, "near-docs")
+    names = placed.columns[:-2]
+    rows = placed.select("_file", "_row", F.col(names[docs.columns.index(id_col)]).cast("long").alias("id"), F.col(names[docs.columns.index(text_col)]).cast("string").alias("text"))
+    marks = stage(rows.mapInArrow(_signer(size), "_file long, _row long, id long, h long, g long, fp long, keys array<long>, lo long, hi long"), "near-marks")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_file", "_row")).alias("best")
+    distinct = marks.groupBy("h", "g").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "lo", "hi")])
+    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("lid"), "best", "fp", "keys", "lo", "hi"), "near-distinct")
+
+    own = stage(distinct.groupBy("fp").agg(F.min("lid").alias("first")), "near-fingerprints")
+    edges = fingerprint_edges(own, radius)
+    edges = edges.join(own.toDF("u", "a"), "u").join(own.toDF("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    equal = distinct.select("fp", "lid").join(own, "fp").filter("lid > first").select(F.col("lid").alias("u"), F.col("first").alias("v"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
+        wanted = stage(distinct.select("lid", "best._file", "best._row").join(ends, "lid"), "near-ends")
+        texts = stage(rows.select("_file", "_row", "text").join(fits(wanted), ["_file", "_row"]).select("lid", "text"), "near-texts")
+        both = _with_text(_with_text(pairs, "u", "v", texts, "a"), "v", "u", texts, "b")
+        return both.select("u", "v", "a", "b").mapInArrow(_checker(size, least), "u long, v long")
+
+    named = linked(distinct.select("lid", "keys", "lo", "hi"), similar, edges.unionByName(equal), spread=False)
+    of = distinct.select("lid", "best").join(named, F.col("lid") == F.col("node"), "left").select(F.coalesce("component", "lid").alias("component"), "best")
+    kept = of.groupBy("component").agg(F.min("best").alias("best")).select("best._file", "best._row")
+    gone = stage(marks.select("_file", "_row").join(kept, ["_file", "_row"], "left_anti"), "near-gone")
+    return placed.join(fits(gone), ["_file", "_row"], "left_anti").select(*names).toDF(*docs.columns)

@@ -1,10 +1,13 @@
 """The pipeline against a plain version of each stage, and its stages on odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import DATA
+from shelfmark.llm import simhash
 
 
 @pytest.fixture(scope="module")
@@ -39,13 +42,16 @@ def test_line_stage(stages):
                 assert seen.setdefault(line.strip(" \t\r\x0b\x0c"), r["doc_id"]) == r["doc_id"] and list(r["text"].split("\n")).count(line) == 1
 
 
-def test_near_copies_stage(stages):
-    from shelfmark.llm.simhash import fingerprint
+def shingles(text):
+    found = text.encode().lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
 
-    marks = {r["doc_id"]: fingerprint((r["text"] or "").encode(), 5) for r in stages[1].collect()}
-    left = {r["doc_id"] for r in stages[2].collect()}
-    near = {i: {j for j in marks if (marks[i] ^ marks[j]).bit_count() <= 3} for i in marks}
-    groups, todo = [], set(marks)
+
+def groups_of(texts):
+    """Sets of ids reachable over five-word Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = {i: {j for j in sets if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    groups, todo = [], set(sets)
     while todo:
         group, edge = set(), {min(todo)}
         while edge:
@@ -53,7 +59,39 @@ def test_near_copies_stage(stages):
             edge = {j for i in edge for j in near[i]} - group
         groups.append(group)
         todo -= group
-    assert left == {min(g) for g in groups}
+    return groups
+
+
+def test_near_copies_stage(stages):
+    texts = {r["doc_id"]: r["text"] or "" for r in stages[1].collect()}
+    left = {r["doc_id"] for r in stages[2].collect()}
+    assert left == {min(g) for g in groups_of(texts)}
+
+
+def test_near_copies_of_every_similarity(spark):
+    """Texts with some words replaced: whatever is at 0.8 or more of another one goes, whatever isn't stays."""
+    rng, texts = random.Random(5), {}
+    for base in range(60):
+        words = [f"w{rng.randrange(100000)}" for _ in range(rng.choice((8, 40, 300)))]
+        for edits in (0, 0, 1, 2, 4, 6, 8):
+            own = list(words)
+            for at in rng.sample(range(len(own)), min(edits, len(own))):
+                own[at] = f"x{rng.randrange(100000)}"
+            texts[len(texts)] = " ".join(own)
+    rows = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    left = {r["doc_id"] for r in simhash.keep_one(rows).collect()}
+    want = {min(g) for g in groups_of(texts)}
+    assert want <= left and len(left) <= len(want) + 2
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """One text of a group that is larger than what one task compares with its hub."""
+    monkeypatch.setattr(simhash, "HUB", 50)
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(words[:k] + [f"x{i}"] + words[k + 1 :])) for i in range(400) for k in [rng.randrange(200)]] + [(1000, "other text of its own here")]
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0, 1000}
 
 
 def test_benchmark_stage(spark, stages):
