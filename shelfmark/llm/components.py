@@ -14,6 +14,8 @@ from shelfmark.llm.storage import BROADCAST_ROWS, remove, stage_at
 
 #: Edges of a node from which on its edges are not shuffled to one task.
 HEAVY = 10_000
+#: Edges a task writes at least, of tables whose rows were counted to be few.
+TASK_EDGES = 50_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
@@ -36,11 +38,12 @@ def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     return _with_least(both.filter("v > u"), least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(edges: DataFrame, few: bool) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool, parts: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     moved = _with_least(down, least, few).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    stars = least.select("u", F.col("m").alias("v"))
+    return moved.unionByName(stars.coalesce(parts) if few else stars)
 
 
 def _staged(edges: DataFrame, purpose: str) -> tuple[DataFrame, str, tuple]:
@@ -62,7 +65,9 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     now, path, mark = _staged(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), purpose)
     while mark[0]:
         few = mark[0] <= BROADCAST_ROWS // 2  # a node for each end of an edge at most; a step makes no more edges
-        after, new_path, new_mark = _staged(_small_star(_large_star(now, few), few).distinct(), purpose)
+        parts = mark[0] // TASK_EDGES + 1  # a few edges in many partitions are many small files in each round
+        after = _small_star(_large_star(now, few), few, parts).distinct()
+        after, new_path, new_mark = _staged(after.coalesce(parts) if few else after, purpose)
         remove(now.sparkSession, path)
         now, path, before, mark = after, new_path, mark, new_mark
         if mark == before:
