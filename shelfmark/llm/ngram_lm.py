@@ -35,7 +35,7 @@ HELD_WORDS, HELD_KEYS, REMEMBERED = 300_000, 1_500_000, 300_000
 #: Marks of equal counts that a file reports, for cutting the next level.
 MARKS = 32
 #: Steps of a stored probability for a power of ten.
-FINE = 8192
+FINE = 4096
 #: The end of a text, which no word is.
 END = b"\n"
 
