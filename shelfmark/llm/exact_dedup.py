@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.arrowtext import column, row_numbers, signed, steps, utf8
@@ -134,10 +134,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = bodies.withColumn("p", prefix).join(F.broadcast(table), "p").select("row", "key", "body", "owner")
     owned = owned.repartitionById(max(buckets) + 1, F.col("owner")).drop("owner").sortWithinPartitions("key")
     classes = stage(owned.mapInArrow(_own, "first long, class long, sha256 string"), "exact-classes")
-    members = entered.select("row", "id", "chars", "first").join(classes, "first")
+    members = entered.select("row", "id", "chars", "first")
     best = F.min(F.struct(-F.col("chars"), F.col("id").isNull().alias("none"), "id", "row"))
-    keeps = members.groupBy("class").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return members.join(keeps, "class").select(
+    chained = members.groupBy("first").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).join(classes, "first")
+    same = Window.partitionBy("class")  # a row for each map task that chained the text, not for each copy
+    keeps = chained.select("first", "sha256", F.min("best").over(same).alias("best"), F.sum("n").over(same).alias("group_size"))
+    return members.join(keeps, "first").select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha256").alias("text_sha256")
     )
-
