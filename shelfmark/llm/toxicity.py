@@ -18,15 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfmark.llm.arrowtext import column, steps, utf8
+from shelfmark.llm.storage import stage
 
 #: Labelled rows learned from at most, prior words, significance of a word's odds, words of the model at most.
 ROWS, PRIOR, LEAST_Z, MOST_WORDS = 16_000, 500.0, 3.2, 50_000
-#: Log-odds that a word has at least, either way: smaller ones come from copies of a few texts.
-LEAST_ODDS = 2.5
+#: Least log-odds of a word, either way, tried on the learning rows: small ones come from copies of a few texts.
+LEAST_ODDS = (1.0, 1.5, 2.0, 2.5, 3.0)
+#: Parts of the learning rows; each is scored by weights of the others. Words whose score one of those trials remembers.
+PARTS, TRIAL_WORDS = 4, 20_000
 #: Code points of the beginnings, longest first, and words whose score a task remembers.
 BEGINNINGS, REMEMBERED = (9, 8, 7, 6, 5), 300_000
 #: Score of a word without significant odds, and the largest score of one with.
@@ -55,11 +58,11 @@ def tokens(word: bytes) -> list[bytes]:
 class Scores(dict):
     """Score of a word by its longest token with one, 0 without; filled as words come."""
 
-    def __init__(self, weights: dict[bytes, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[bytes, float], remembered: int):
+        self.weights, self.remembered = weights, remembered
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > REMEMBERED:
+        if len(self) > self.remembered:
             self.clear()
         found = self[word] = next((self.weights[t] for t in tokens(word) if t in self.weights), 0.0)
         return found
@@ -72,12 +75,13 @@ class Model:
     place: float = 1.0  # its factor of the text's length
     slope: float = 1.0
     shift: float = -4.0
+    remembered: int = REMEMBERED
     scores: Scores | None = None
 
     def segments(self, text: bytes | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Words of the text, and its maximal scoring segments (first word, word after the last, score)."""
         if self.scores is None:
-            self.scores = Scores(self.weights)
+            self.scores = Scores(self.weights, self.remembered)
         own = words(text)
         return len(own), maximal_segments([(i, s) for i, s in enumerate(map(self.scores.__getitem__, own)) if s])
 
@@ -125,28 +129,36 @@ def maximal_segments(scored: list[tuple[int, float]], neutral: float = NEUTRAL)
     return [(a, b, after - low) for a, b, low, after, _ in stack]
 
 
+def _counted(kinds: list[str]) -> str:
+    return "word binary, " + ", ".join(f"{k} long" for k in kinds)
+
+
+#: Columns of counts: clean and toxic texts of each part.
+KINDS = [f"{k}{part}" for part in range(PARTS) for k in ("clean", "toxic")]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (Counter(), Counter())
+    held = [Counter() for _ in KINDS]
 
     def out() -> pa.RecordBatch:
-        names = list(held[0].keys() | held[1].keys())
-        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[w] for w in names], pa.int64()) for c in held)], names=["word", "clean", "toxic"])
-        held[0].clear()
-        held[1].clear()
+        names = list(set().union(*held))
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[w] for w in names], pa.int64()) for c in held)], names=["word", *KINDS])
+        for c in held:
+            c.clear()
         return batch
 
     for batch in steps(batches, "text"):
-        for text, toxic in zip(utf8(column(batch, "text")), column(batch, "toxic").to_pylist()):
-            held[toxic].update({t for word in set(words(text)) for t in tokens(word)})  # texts, not words, so one text counts once
-        if len(held[0]) + len(held[1]) > HELD:
+        for text, toxic, part in zip(utf8(column(batch, "text")), column(batch, "toxic").to_pylist(), column(batch, "part").to_pylist()):
+            held[2 * part + toxic].update({t for word in set(words(text)) for t in tokens(word)})  # texts, not words, so one text counts once
+        if sum(map(len, held)) > HELD:
             yield out()
     yield out()
 
 
-def log_odds(counts: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, most_words: int = MOST_WORDS) -> dict[bytes, float]:
+def log_odds(counts: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z, least_odds: float = LEAST_ODDS[0], most_words: int = MOST_WORDS) -> dict[bytes, float]:
     """Log-odds of the words of (word, clean, toxic) under a Dirichlet prior of half a text plus a share in proportion to their overall counts.
 
-    Words whose odds lie ``least_z`` standard errors and LEAST_ODDS from even are returned, the
+    Words whose odds lie ``least_z`` standard errors and ``least_odds`` from even are returned, the
     most significant ``most_words`` at most (the size of the model).
     """
     n = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).first()
@@ -158,8 +170,13 @@ def log_odds(counts: DataFrame, prior: float = PRIOR, least_z: float = LEAST_Z,
     at, ac = F.col("toxic") + own, F.col("clean") + own
     odds = F.log(at / (n["t"] + prior)) - F.log(ac / (n["c"] + prior))
     rated = counts.select("word", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"))
-    kept = rated.filter((F.abs("z") >= least_z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "word").limit(most_words).collect()
-    return {bytes(r["word"]): max(-MOST, min(MOST, r["odds"])) for r in kept}
+    kept = rated.filter((F.abs("z") >= least_z) & (F.abs("odds") >= least_odds)).orderBy(F.abs("z").desc(), "word").limit(most_words).collect()
+    return {bytes(r["word"]): r["odds"] for r in kept}
+
+
+def weights(odds: dict[bytes, float], least: float) -> dict[bytes, float]:
+    """The words with log-odds of at least ``least``, either way, and their scores."""
+    return {w: max(-MOST, min(MOST, x)) for w, x in odds.items() if abs(x) >= least}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -175,25 +192,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", rows: int = ROWS) -> Model:
-    """A model learned from at most ``rows`` labelled documents among those where ``learn`` (on the id) holds.
+    """A model learned from at most ``rows`` labelled ids among those where ``learn`` (on the id) holds.
 
     The sample is the labelled ids with the lowest hashes, so the joined side is
-    bounded by ``rows``. Null labels are left out; an id with several labels
-    counts as toxic if any is. Without both kinds of rows every text scores low.
+    bounded by ``rows``; where an id has several texts, all count, and the curves
+    are fitted on the ``rows`` with the lowest hashes. Null labels are left out;
+    an id with several labels counts as toxic if any is. Without both kinds of
+    rows every text scores low.
+
+    The least odds, the extreme-value law and the logistic curve are learned
+    from scores that rows of one part get by weights of the other parts; equal
+    texts are in one part. If no part's rows get any score that way, as with a
+    few dozen rows, from the scores by weights of all rows.
     """
     known = labels.filter(learn & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     known = known.select("key", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(rows)
-    some = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "key").select("text", "toxic")
-    counts = some.mapInArrow(_count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    model = Model(log_odds(counts))
-    if not model.weights:
-        return model
-    seen = some.mapInArrow(_sample(model), "n long, top double, evidence_of array<double>, toxic int").collect()  # numbers of at most ``rows`` texts
-    clean = [(r["n"], r["top"]) for r in seen if not r["toxic"] and r["n"]]
-    model.rate, model.place = extreme_value([n for n, _ in clean], [s for _, s in clean])
-    x = np.array([model.evidence(r["n"], [(0, 0, s) for s in r["evidence_of"]]) for r in seen])
-    model.slope, model.shift = _logistic(x, np.array([r["toxic"] for r in seen], float))
-    return model
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    mark = F.xxhash64("text")
+    some = texts.join(F.broadcast(known), "key").select("text", "toxic", mark.alias("mark"), F.pmod(mark, F.lit(PARTS)).cast("int").alias("part"))
+    sums = [F.sum(k).alias(k) for k in KINDS]
+    counts = stage(some.mapInArrow(_count, _counted(KINDS)).groupBy("word").agg(*sums), "toxicity-counts")
+
+    def odds_without(part: int | None) -> dict[bytes, float]:
+        own = {k: sum(F.col(f"{k}{p}") for p in range(PARTS) if p != part) for k in ("clean", "toxic")}
+        return log_odds(counts.select("word", own["clean"].alias("clean"), own["toxic"].alias("toxic")))
+
+    whole = odds_without(None)
+    if not whole:
+        return Model({})
+    parts = [odds_without(p) for p in range(PARTS)]
+
+    def sample(odds: list[dict[bytes, float]]) -> list[Row]:  # numbers of at most ``rows`` texts
+        return some.mapInArrow(_sample(odds), "mark long, toxic int, n long, scores array<array<double>>").orderBy("mark", "n", "toxic").limit(rows).collect()
+
+    seen = sample(parts)
+    if not any(s for r in seen for s in r["scores"]):
+        seen = sample([whole] * PARTS)
+    toxic = np.array([r["toxic"] for r in seen], float)
+    best, found = math.inf, Model({})
+    for k, least in enumerate(LEAST_ODDS):
+        model = Model(weights(whole, least))
+        clean = [(r["n"], max(r["scores"][k], default=0.0)) for r in seen if not r["toxic"] and r["n"]]
+        model.rate, model.place = extreme_value([n for n, _ in clean], [s for _, s in clean])
+        x = np.array([model.evidence(r["n"], [(0, 0, s) for s in r["scores"][k]]) for r in seen])
+        model.slope, model.shift = _logistic(x, toxic)
+        p = np.clip(1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -50, 50))), 1e-6, 1 - 1e-6)
+        loss = -float(np.mean(np.log(np.where(toxic > 0, p, 1 - p))))
+        if loss <= best and model.weights:
+            best, found = loss, model
+    return found
 
 
 def extreme_value(lengths: list[int], tops: list[float]) -> tuple[float, float]:
@@ -211,14 +258,17 @@ def extreme_value(lengths: list[int], tops: list[float]) -> tuple[float, float]:
     return rate, float(over.sum() / max(1.0, n.sum()) * math.exp(rate * floor))
 
 
-def _sample(model: Model):
+def _sample(parts: list[dict[bytes, float]]):
+    """Segment scores of each text for each of LEAST_ODDS, by the weights given for its part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trials = [[Model(weights(odds, least), remembered=TRIAL_WORDS) for least in LEAST_ODDS] for odds in parts]
         for batch in steps(batches, "text"):
-            found = [model.segments(t) for t in utf8(column(batch, "text"))]
+            found = [[m.segments(t) for m in trials[part]] for t, part in zip(utf8(column(batch, "text")), column(batch, "part").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for _, _, s in f), default=0.0) for _, f in found]),
-                 pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64())), column(batch, "toxic").cast(pa.int32())],
-                names=["n", "top", "evidence_of", "toxic"],
+                [column(batch, "mark"), column(batch, "toxic").cast(pa.int32()), pa.array([f[0][0] for f in found], pa.int64()),
+                 pa.array([[[s for _, _, s in segments] for _, segments in f] for f in found], pa.list_(pa.list_(pa.float64())))],
+                names=["mark", "toxic", "n", "scores"],
             )
 
     return run

@@ -134,6 +134,31 @@ def test_toxicity_accuracy(spark):
     assert n["right"] > 0.96 and n["hit"] > 0.75 * n["all"]
 
 
+def test_log_odds_equal_the_formula(spark):
+    rows = [(b"bad", 2, 40), (b"good", 60, 3), (b"both", 30, 30), (b"rare", 0, 1)]
+    got = toxicity.log_odds(spark.createDataFrame(rows, "word binary, clean long, toxic long"), prior=10.0, least_z=1.0, least_odds=0.5)
+    c, t = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    want = {}
+    for word, clean, toxic in rows:
+        own = 0.5 + 10.0 * (clean + toxic) / (c + t)
+        odds = np.log((toxic + own) / (t + 10.0)) - np.log((clean + own) / (c + 10.0))
+        if abs(odds) >= 0.5 and abs(odds) >= np.sqrt(1 / (toxic + own) + 1 / (clean + own)):
+            want[word] = odds
+    assert got.keys() == want.keys() and {b"bad", b"good"} <= got.keys()
+    assert all(abs(got[w] - want[w]) < 1e-12 for w in want)
+
+
+def test_toxicity_learns_only_from_learning_rows(spark):
+    texts = spark.createDataFrame([(i, ("vile awful " if i % 3 == 0 else "kind calm ") + f"word{i} of text {i * 7}") for i in range(300)], "doc_id long, text string")
+    labels = texts.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    learn = F.col("doc_id") < 200
+    model = toxicity.fit(texts, labels, learn)
+    other = toxicity.fit(texts, labels.withColumn("toxic", F.when(learn, F.col("toxic")).otherwise(1 - F.col("toxic"))), learn)
+    assert (model.weights, model.rate, model.place, model.slope, model.shift) == (other.weights, other.rate, other.place, other.slope, other.shift)
+    scored = toxicity.score(texts, model).join(labels, "doc_id").filter(~learn).collect()
+    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in scored)
+
+
 def test_toxicity_edges(edge, empty, spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(edge, labels, F.lit(True))
