@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step of a map function holds at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

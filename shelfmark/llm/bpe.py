@@ -31,7 +31,7 @@ from shelfmark.llm.merges import Merges
 #: Bytes of a leaf of the tree, tokens on each side of a first window.
 LEAF, WINDOW = 512, 4
 #: Bytes of text that are encoded together, and those of a word that is merged in lockstep at most.
-STEP, WORD = 4 << 20, 64
+STEP, WORD = 1 << 20, 64
 
 #: White space of ASCII, and the first two bytes of longer characters among which white space is.
 _SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
