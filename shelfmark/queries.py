@@ -567,12 +567,12 @@ def batch_embed(spark, sf_dir):
     return _moments(embed.embed(rows, embed.LexicalBackend, batch_size=64, workers=2, text_col="text"), "doc_id")
 
 
-@query("SELECT item_id AS qid, true AS found_itself FROM benchmark WHERE item_id < 5")
+@query("SELECT item_id AS qid, true AS found_itself FROM benchmark")
 def text_authenticity(spark, sf_dir):
-    """Stored texts, embedded again, find themselves among the lexical vectors of all items."""
+    """All stored texts, embedded again, find themselves among the lexical vectors of all items."""
     items = table(spark, sf_dir, "benchmark")
     vectors = embed.lexical_vectors(items, "item_id", "text")
-    texts = {r["item_id"]: r["text"] for r in items.filter("item_id < 5").collect()}
+    texts = {r["item_id"]: r["text"] for r in items.collect()}
     return knn.authentic(vectors, texts, embed.LexicalBackend(), id_col="item_id")
 
 
