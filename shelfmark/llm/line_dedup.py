@@ -6,15 +6,14 @@ empty bin takes the value of another one, the same for all lines. Lines that
 agree in all bins of a band meet in its bucket. Two bits of each bin make a
 sketch, which tells pairs that can't be similar apart at the cost of a bit count.
 All lines of a bucket are compared with one of them, by sketch and then by exact
-Jaccard similarity, and a distributed union-find joins what is similar. Buckets
-that still have lines of several components are compared in pairs if they are
-small; larger ones are split by further bits of the sketches, a few times by other
-ones, into parts that are compared in the same ways. One line of each component stays.
+Jaccard similarity, and a distributed union-find joins what is similar. Of buckets
+that still have lines of several components all pairs across components are then
+compared, those of large buckets in blocks that many tasks share, so no pair that
+meets is left out. One line of each component stays.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.components import components
 from shelfmark.llm.storage import BROADCAST_ROWS, fits, stage, with_places
 
+#: White space that doesn't count at the ends of a line.
+BLANK = " \t\r\x0b\x0c"
 #: Characters of a shingle and least similarity.
 SHINGLE, LEAST = 5, 0.8
 #: Characters of the longer shingles that signatures are made of: unrelated lines share few of them, so that bands can be short.
@@ -38,18 +39,17 @@ KEPT = 2
 TURNS = (7, 11, 13, 17, 19, 23)
 #: Bins in which the sketches of a similar pair differ at most: at 0.7 they are 6.8 on average with a deviation of 2.3, and 0.3 % have more.
 DIFFER = 13
-#: Lines of a bucket that are compared in pairs at most; larger ones are split by the bits of so many bins, in one of WAYS, one time after another.
-SMALL, TAKEN, WAYS = 64, (0, 5, 9, 13, 13), 8
-
-
-def _normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+#: Lines of a bucket, or of a block of a larger one, that one task compares in pairs, about.
+SMALL = 1024
+#: Rounds in which larger buckets meet further hubs before all their pairs are compared.
+ROUNDS = 3
 
 
 def _lines(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_file, _row, id, pos, line, h, g) of each line with a visible character."""
     lines = placed.select("_file", "_row", F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    lines = lines.select("_file", "_row", "id", "pos", _normal(F.col("line")).alias("line")).filter("line <> ''")
+    lines = lines.select("_file", "_row", "id", "pos", F.btrim("line", F.lit(BLANK)).alias("line")).filter("line <> ''")
+    lines = lines.withColumn("line", F.lower("line"))
     return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
 
 
@@ -83,10 +83,13 @@ def _signed(lines: DataFrame) -> DataFrame:
     return signed.select("h", "g", F.monotonically_increasing_id().alias("lid"), "n", F.array(*keys).alias("keys"), bits[0].alias("lo"), bits[1].alias("hi"))
 
 
+def _differ(a: str, b: str) -> Column:
+    """The number of bins in which the sketches in columns lo, hi with these endings differ."""
+    return F.bit_count(F.col(f"lo{a}").bitwiseXOR(F.col(f"lo{b}")).bitwiseOR(F.col(f"hi{a}").bitwiseXOR(F.col(f"hi{b}"))))
+
+
 def _near(a: str, b: str) -> Column:
-    """Whether the sketches in columns lo, hi with these endings differ in few bins."""
-    differ = F.col(f"lo{a}").bitwiseXOR(F.col(f"lo{b}")).bitwiseOR(F.col(f"hi{a}").bitwiseXOR(F.col(f"hi{b}")))
-    return F.bit_count(differ) <= DIFFER
+    return _differ(a, b) <= DIFFER
 
 
 def _once(value: Column, f) -> Column:
@@ -101,18 +104,15 @@ def _shingles(line: Column, size: int) -> Column:
     return _once(F.encode(line, "UTF-16BE"), lambda w: F.transform(F.sequence(F.lit(1), last(w), F.lit(2)), lambda i: F.xxhash64(F.substring(w, i, F.lit(2 * size)))))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, distinct: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of the pairs (u, v) of line numbers whose shingle sets have Jaccard similarity of ``least`` or more.
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of the pairs (u, v) of line numbers whose shingle sets have Jaccard similarity of ``least`` or more; ``texts`` has (lid, line).
 
     Shingles are told apart by 64-bit hashes of all their characters.
     """
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
-    wanted = fits(stage(distinct.select("h", "g", "lid").join(ends, "lid"), "line-ends"))
-    texts = stage(lines.select("h", "g", "line").join(wanted, ["h", "g"]).groupBy("lid").agg(F.first("line").alias("line")), "line-texts")  # equal hashes of 128 bits, equal lines
-    both = pairs.join(texts.select(F.col("lid").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("lid").alias("v"), F.col("line").alias("b")), "v")
-    both = both.withColumn("sets", F.struct(_shingles(F.col("a"), size).alias("a"), _shingles(F.col("b"), size).alias("b")))
-    alike = _once(F.col("sets"), lambda s: F.size(F.array_intersect(s["a"], s["b"])) >= least * F.size(F.array_union(s["a"], s["b"])))
-    return both.filter(alike).select("u", "v")
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+    sets = F.struct(_shingles(F.col("a"), size).alias("a"), _shingles(F.col("b"), size).alias("b"))
+    both = both.select("u", "v", F.explode(F.array(sets)).alias("s"))  # a filter isn't moved below an explode, so the sets are made once
+    return both.filter(F.size(F.array_intersect("s.a", "s.b")) >= least * F.size(F.array_union("s.a", "s.b"))).select("u", "v")
 
 
 def _ordered(u: str, v: str) -> list[Column]:
@@ -123,69 +123,79 @@ def _open(rows: DataFrame, named: DataFrame, purpose: str) -> DataFrame:
     """(key, lid, lo, hi, c, n) of the buckets with lines of several components; ``n`` is how many lines a bucket has."""
     c = named.select(F.col("node").alias("lid"), F.col("component").alias("c"))
     rows = rows.join(fits(c), "lid", "left").withColumn("c", F.coalesce("c", "lid"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key", "n")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     return stage(rows.join(mixed, "key"), purpose)
 
 
-def _within(small: DataFrame) -> DataFrame:
-    """Pairs of lines of different components in the same small bucket whose sketches are near."""
-    a = small.select("key", F.col("lid").alias("u"), F.col("c").alias("c_u"), F.col("lo").alias("lo_u"), F.col("hi").alias("hi_u"))
-    b = small.select("key", F.col("lid").alias("v"), F.col("c").alias("c_v"), F.col("lo").alias("lo_v"), F.col("hi").alias("hi_v"))
-    return a.join(b, "key").filter((F.col("u") > F.col("v")) & (F.col("c_u") != F.col("c_v")) & _near("_u", "_v")).select("u", "v")
+def _met(rows: DataFrame, on: list[str], apart: str = "true") -> DataFrame:
+    """Pairs of rows that agree in ``on``, of different components and with near sketches; ``apart`` is a further condition on columns with _a and _b."""
+    a, b = (rows.select(*on, *[F.col(x).alias(f"{x}_{end}") for x in rows.columns if x not in on]) for end in "ab")
+    near = (F.col("lid_a") > F.col("lid_b")) & (F.col("c_a") != F.col("c_b")) & F.expr(apart) & _near("_a", "_b")
+    return a.join(b, on).filter(near).select(F.col("lid_a").alias("u"), F.col("lid_b").alias("v"))
+
 
+def _across(large: DataFrame) -> DataFrame:
+    """Pairs of lines of different components in the same bucket whose sketches are near, by blocks of about SMALL lines.
 
-def _with_hub(rows: DataFrame) -> DataFrame:
-    """Pairs of the lines of a bucket with one of them, another one in each bucket, of which the sketches are near."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "lid").alias("x"), "lid", "c", "lo", "hi")).alias("hub"))
+    Every two blocks of a bucket meet under a key of their own. A component of
+    more lines has blocks for itself, which don't meet each other.
+    """
+    groups = large.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > SMALL)
+    dealt = large.join(fits(groups), ["key", "c"], "left").withColumn("own", F.when(F.col("m").isNotNull(), F.col("c")))
+    part = F.when(F.col("m").isNull(), F.pmod(F.xxhash64("c"), F.expr(f"n div {SMALL} + 1"))).otherwise(F.pmod(F.xxhash64("lid"), F.expr(f"m div {SMALL} + 1")))
+    dealt = stage(dealt.select("key", "lid", "lo", "hi", "c", "own", F.xxhash64(F.coalesce("own", F.lit(-1)), part).alias("block")), "line-blocks")
+    blocks = dealt.select("key", "block", "own").distinct()
+    meet = blocks.toDF("key", "x", "own_x").join(blocks.toDF("key", "y", "own_y"), "key").filter("x <= y AND (own_x IS NULL OR own_y IS NULL OR own_x <> own_y)").select("key", "x", "y")
+    sides = meet.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return _met(dealt.drop("own").join(sides, ["key", "block"]), ["key", "x", "y"], "(x = y OR block_a <> block_b)")
+
+
+def _with_hub(rows: DataFrame, order: Column) -> DataFrame:
+    """Pairs of each line with one of the hubs of its buckets, the one of the nearest sketch; a bucket's hub is its least line in ``order``."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("x"), "lid", "c", "lo", "hi")).alias("hub"))
     hubs = hubs.select("key", F.col("hub.lid").alias("hub"), F.col("hub.c").alias("c_h"), F.col("hub.lo").alias("lo_h"), F.col("hub.hi").alias("hi_h"))
     own = rows.withColumnsRenamed({"lo": "lo_l", "hi": "hi_l"}).join(hubs, "key")
-    return own.filter((F.col("c") != F.col("c_h")) & _near("_l", "_h")).select(*_ordered("lid", "hub"))
+    nearest = own.filter((F.col("c") != F.col("c_h")) & _near("_l", "_h")).groupBy("lid").agg(F.min(F.struct(_differ("_l", "_h").alias("differ"), "hub")).alias("least"))
+    return nearest.select(*_ordered("lid", "least.hub"))
 
 
-def _split(rows: DataFrame, level: int) -> DataFrame:
-    """The rows under keys that tell lines apart by the bits of some more bins, other ones in each bucket and at each level."""
-    pick = random.Random(level)
-    masks = [sum(1 << b for b in pick.sample(range(BINS), TAKEN[level])) for _ in range(WAYS)]
-    mask = F.get(F.array(*map(F.lit, masks)), F.pmod("key", F.lit(WAYS)).cast("int"))
-    return rows.withColumn("mask", mask).select(F.xxhash64("key", F.lit(level), F.col("lo").bitwiseAND(F.col("mask")), F.col("hi").bitwiseAND(F.col("mask"))).alias("key"), "lid", "lo", "hi")
+def buckets(distinct: DataFrame) -> DataFrame:
+    """(key, n, lid, lo, hi) of the buckets with several members of ``distinct`` (lid, keys, lo, hi); ``n`` is how many."""
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = distinct.select("lid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition(partitions, "key")  # shuffled once for both uses
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stage(every.join(shared, "key").join(distinct.select("lid", "lo", "hi"), "lid").select("key", "n", "lid", "lo", "hi"), "line-buckets")
 
 
-def linked(distinct: DataFrame, similar: Callable[[DataFrame], DataFrame], further: DataFrame | None = None, spread: bool = True) -> DataFrame:
-    """(node, component) of the members of ``distinct`` (lid, keys, lo, hi) that are similar to others.
+def linked(shared: DataFrame, similar: Callable[[DataFrame], DataFrame], further: DataFrame | None = None, spread: bool = True) -> DataFrame:
+    """(node, component) of the members of buckets that are similar to others; ``shared`` is from :func:`buckets`.
 
     ``similar`` keeps the similar ones of pairs (u, v), u > v. ``further`` are such
-    pairs to be looked at too. A bucket's hub is its least member, or with
-    ``spread`` another one in each bucket.
+    pairs to be looked at too. Members of a bucket end in one component or have
+    been compared, however large the bucket is. A bucket's hub is its least
+    member, or with ``spread`` another one in each bucket.
     """
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = distinct.select("lid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition(partitions, "key")  # shuffled once for both uses
-    mixed = F.col("lid").bitwiseXOR(F.col("key") if spread else F.lit(0))  # so that each bucket has another order, and a number to take the least of
-    hubs = buckets.groupBy("key").agg(F.min(mixed).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("least").bitwiseXOR(F.col("key") if spread else F.lit(0)).alias("hub"))
-    shared = stage(buckets.join(hubs, "key"), "line-buckets")
-    sketches = distinct.select("lid", "lo", "hi")
-    first = shared.filter("lid <> hub").select(*_ordered("lid", "hub")).distinct()
-    first = first.join(sketches.toDF("u", "lo_u", "hi_u"), "u").join(sketches.toDF("v", "lo_v", "hi_v"), "v").filter(_near("_u", "_v")).select("u", "v")
-    pairs = stage(first.unionByName(further).distinct() if further is not None else first, "line-pairs")
+    pairs = _with_hub(shared.withColumn("c", F.col("lid")), F.xxhash64("key", "lid") if spread else F.col("lid"))
+    pairs = stage((pairs.unionByName(further) if further is not None else pairs).distinct(), "line-pairs")
     named = components(stage(similar(pairs), "line-links"), "line-components")
-    rows = _open(shared.select("key", "lid").join(sketches, "lid"), named, "line-open")
-    crowd = rows.filter(F.col("n") > SMALL).select("key", "lid", "lo", "hi")
-    for level in range(len(TAKEN)):
-        if level:
-            rows = _open(_split(crowd, level), named, "line-open")
-        if not rows.limit(1).count():
-            if level:
-                continue  # the bits of other bins may leave lines of several components together
-            break
-        small, large = rows.filter(F.col("n") <= SMALL), rows.filter(F.col("n") > SMALL)
-        more = _within(small).unionByName(_with_hub(large)) if level else _within(small)  # the lines of whole buckets have met their hubs
+    rows = _open(shared, named, "line-open")
+
+    def meet(more: DataFrame) -> None:
+        nonlocal pairs, named
         more = stage(more.distinct().join(pairs, ["u", "v"], "left_anti"), "line-pairs")
         if more.limit(1).count():
-            found = stage(similar(more), "line-links")
             pairs = pairs.unionByName(more)
+            found = stage(similar(more), "line-links")
             if found.limit(1).count():
                 named = components(named.toDF("u", "v").unionByName(found), "line-components")
-        if not level and not crowd.limit(1).count():
-            break  # no bucket was too large for all its pairs
+
+    large = rows.filter(F.col("n") > SMALL)
+    crowd = large.limit(1).count() > 0
+    for k in range(ROUNDS if crowd else 0):  # a line that isn't similar to a hub may be to another one, which spares its pairs with all others
+        meet(_with_hub(large, F.xxhash64("key", "lid", F.lit(k))))
+        large = _open(large.drop("c"), named, "line-open")
+    every = _met(rows.filter(F.col("n") <= SMALL).drop("n"), ["key"])
+    meet(every.unionByName(_across(large)) if crowd else every)
     return named
 
 
@@ -202,10 +212,20 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _components(placed: DataFrame, id_col: str, text_col: str, least: float, size: int) -> DataFrame:
     lines = _lines(placed, id_col, text_col)
     distinct = stage(_signed(lines), "lines")
-    named = linked(distinct, lambda pairs: _similar(pairs, lines, distinct, size, least))
-    shared = distinct.select("h", "g", "n", "lid").join(fits(named), F.col("lid") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL")
-    shared = shared.select("h", "g", F.coalesce("component", "lid").alias("component"))
-    grouped = stage(lines.select("_file", "_row", "id", "pos", "h", "g").join(shared, ["h", "g"]).drop("h", "g"), "line-groups")
+    shared = buckets(distinct)
+    # of the other lines nothing is needed any more
+    members = shared.select("lid").distinct().withColumn("meets", F.lit(True))
+    wanted = stage(distinct.select("h", "g", "n", "lid").join(members, "lid", "left").filter("n > 1 OR meets").select("h", "g", "lid", "n", "meets"), "line-wanted")
+    held = stage(lines.join(fits(wanted), ["h", "g"]).drop("h", "g"), "line-held")
+    texts = stage(held.filter("meets").groupBy("lid").agg(F.first("line").alias("line")), "line-texts")  # equal hashes of 128 bits, equal lines
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
+        return _similar(pairs, texts.join(fits(ends), "lid"), size, least)
+
+    named = linked(shared, similar)
+    grouped = held.drop("line", "meets").join(fits(named), F.col("lid") == F.col("node"), "left").filter("n > 1 OR component IS NOT NULL")
+    grouped = stage(grouped.select("_file", "_row", "id", "pos", F.coalesce("component", "lid").alias("component")), "line-groups")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "_file", "_row")
     best = grouped.groupBy("component").agg(F.min(place).alias("best"))
     stays = best.select("best._file", "best._row", "best.pos", F.lit(True).alias("stays"))  # joined by place, since a component may be a third of all lines

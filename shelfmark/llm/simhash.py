@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrowtext import column, release, signed, steps, utf8
 from shelfmark.llm.components import components
-from shelfmark.llm.line_dedup import BANDS, BINS, ROWS, TURNS, linked
+from shelfmark.llm.line_dedup import BANDS, BINS, ROWS, TURNS, buckets, linked
 from shelfmark.llm.storage import fits, stage, with_places
 
 SEED = 42
@@ -318,7 +318,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         both = _with_text(_with_text(pairs, "u", "v", texts, "a"), "v", "u", texts, "b")
         return both.select("u", "v", "a", "b").mapInArrow(_checker(size, least), "u long, v long")
 
-    named = linked(distinct.select("lid", "keys", "lo", "hi"), similar, edges.unionByName(equal), spread=False)
+    named = linked(buckets(distinct.select("lid", "keys", "lo", "hi")), similar, edges.unionByName(equal), spread=False)
     of = distinct.select("lid", "best").join(named, F.col("lid") == F.col("node"), "left").select(F.coalesce("component", "lid").alias("component"), "best")
     kept = of.groupBy("component").agg(F.min("best").alias("best")).select("best._file", "best._row")
     gone = stage(marks.select("_file", "_row").join(kept, ["_file", "_row"], "left_anti"), "near-gone")

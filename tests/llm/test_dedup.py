@@ -271,6 +271,36 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert len(set(map(frozenset, got.values())) ^ want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("small", [4, 1024])
+def test_pairs_of_a_crowded_bucket_are_all_compared(spark, monkeypatch, small):
+    """Similar pairs that meet in one large bucket only, each with a dozen differing bins and similar to no common line."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    rnd, rows = np.random.default_rng(12), []
+    for i in range(150):
+        lo, hi = (int(x) for x in rnd.integers(0, 1 << line_dedup.BINS, 2))
+        other = sum(1 << int(b) for b in rnd.choice(line_dedup.BINS, 12, replace=False))
+        rows += [(2 * i, [7], lo, hi), (2 * i + 1, [7], lo ^ other, hi)]
+    distinct = spark.createDataFrame(rows, "lid long, keys array<long>, lo long, hi long")
+    of = line_dedup.linked(line_dedup.buckets(distinct), lambda pairs: pairs.filter("u = v + 1 AND v % 2 = 0"))
+    assert {r["node"]: r["component"] for r in of.collect()} == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_blocks_of_a_bucket_hold_groups_and_pairs(spark, monkeypatch):
+    """A group that is larger than a block, with lines outside it of which each is similar to one of the group only."""
+    monkeypatch.setattr(line_dedup, "SMALL", 8)
+    distinct = spark.createDataFrame([(i, [7], 0, 0) for i in range(60)], "lid long, keys array<long>, lo long, hi long")
+    asked = []
+
+    def similar(pairs):
+        asked.append(pairs)
+        return pairs.filter("u < 40 OR (u >= 50 AND u - v = 45)")  # 0 to 39 are a group, 50 to 59 join 5 to 14, 40 to 49 are alone
+
+    of = {r["node"]: r["component"] for r in line_dedup.linked(line_dedup.buckets(distinct), similar).collect()}
+    assert of == {i: 0 for i in range(60) if i < 40 or i >= 50}
+    met = {frozenset((r["u"], r["v"])) for pairs in asked for r in pairs.collect()}
+    assert all(frozenset((i, j)) in met for i in range(40, 50) for j in range(60) if i != j)
+
+
 def test_a_line_of_many_lines_loses_some(spark):
     lines = [f"line {i} " + hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nanother one that stays")], "doc_id long, text string")
