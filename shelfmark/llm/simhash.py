@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.arrowtext import column, release, signed, steps, utf8
 from shelfmark.llm.components import components
-from shelfmark.llm.line_dedup import BANDS, BINS, ROWS, TURNS, buckets, linked
+from shelfmark.llm.line_dedup import BANDS, BINS, PARITY, ROWS, TURNS, buckets, linked
 from shelfmark.llm.storage import fits, stage, with_places
 
 SEED = 42
@@ -34,6 +34,8 @@ SHINGLE, RADIUS = 3, 2
 SAMPLE, LEAF, SHARD = 4096, 48, 65536
 #: Pairs of a row that meet its text in one task, about.
 HUB = 1000
+#: What line dedup's bound on the similarity of two sets needs.
+_SETS = ["size", *(f"p{k}" for k in range(PARITY))]
 
 
 def _hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -239,10 +241,16 @@ def signature(hashes: np.ndarray) -> tuple[list[int | None], int, int]:
     return keys, sum((m & 1) << j for j, m in enumerate(full)), sum((m >> 1 & 1) << j for j, m in enumerate(full))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The words of the parities of distinct hashes, as line dedup has them."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _signer(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            marks, ends, keys, sketches = [], [], [], []
+            marks, ends, keys, sketches, sizes, odd = [], [], [], [], [], []
             for text in utf8(column(batch, "text")):
                 hashes = _hashes(text, size)
                 own = np.unique(hashes)
@@ -251,11 +259,14 @@ def _signer(size: int):
                 k, lo, hi = signature(own)
                 keys.append([None if x is None else x - (x >> 63 << 64) for x in k])
                 sketches.append((lo, hi))
+                sizes.append(len(own))
+                odd.append(parity(own))
             h, g = np.stack(ends).T
             lo, hi = np.array(sketches, dtype=np.int64).T
             fields = [column(batch, n) for n in ("_file", "_row", "id")]
             made = [pa.array(h.copy()), pa.array(g.copy()), pa.array(signed(marks)), pa.array(keys, pa.list_(pa.int64())), pa.array(lo.copy()), pa.array(hi.copy())]
-            yield pa.RecordBatch.from_arrays(fields + made, names=["_file", "_row", "id", "h", "g", "fp", "keys", "lo", "hi"])
+            made += [pa.array(sizes, pa.int64()), *(pa.array(p.copy()) for p in np.stack(odd).T)]
+            yield pa.RecordBatch.from_arrays(fields + made, names=["_file", "_row", "id", "h", "g", "fp", "keys", "lo", "hi", *_SETS])
         release()
 
     return run
@@ -301,10 +312,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     placed = with_places(docs, "near-docs")
     names = placed.columns[:-2]
     rows = placed.select("_file", "_row", F.col(names[docs.columns.index(id_col)]).cast("long").alias("id"), F.col(names[docs.columns.index(text_col)]).cast("string").alias("text"))
-    marks = stage(rows.mapInArrow(_signer(size), "_file long, _row long, id long, h long, g long, fp long, keys array<long>, lo long, hi long"), "near-marks")
+    signs = "_file long, _row long, id long, h long, g long, fp long, keys array<long>, lo long, hi long, " + ", ".join(f"{x} long" for x in _SETS)
+    marks = stage(rows.mapInArrow(_signer(size), signs), "near-marks")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_file", "_row")).alias("best")
-    distinct = marks.groupBy("h", "g").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "lo", "hi")])
-    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("lid"), "best", "fp", "keys", "lo", "hi"), "near-distinct")
+    distinct = marks.groupBy("h", "g").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "lo", "hi", *_SETS)])
+    distinct = stage(distinct.select(F.monotonically_increasing_id().alias("lid"), "best", "fp", "keys", "lo", "hi", *_SETS), "near-distinct")
 
     own = stage(distinct.groupBy("fp").agg(F.min("lid").alias("first")), "near-fingerprints")
     edges = fingerprint_edges(own, radius)
@@ -318,7 +330,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         both = _with_text(_with_text(pairs, "u", "v", texts, "a"), "v", "u", texts, "b")
         return both.select("u", "v", "a", "b").mapInArrow(_checker(size, least), "u long, v long")
 
-    named = linked(buckets(distinct.select("lid", "keys", "lo", "hi")), similar, edges.unionByName(equal), spread=False)
+    def sets(lids: DataFrame) -> DataFrame:
+        return distinct.select("lid", *_SETS).join(fits(lids), "lid")
+
+    named = linked(buckets(distinct.select("lid", "keys", "lo", "hi")), similar, edges.unionByName(equal), spread=False, sets=sets, least=least)
     of = distinct.select("lid", "best").join(named, F.col("lid") == F.col("node"), "left").select(F.coalesce("component", "lid").alias("component"), "best")
     kept = of.groupBy("component").agg(F.min("best").alias("best")).select("best._file", "best._row")
     gone = stage(marks.select("_file", "_row").join(kept, ["_file", "_row"], "left_anti"), "near-gone")

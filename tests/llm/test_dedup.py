@@ -301,6 +301,46 @@ def test_blocks_of_a_bucket_hold_groups_and_pairs(spark, monkeypatch):
     assert all(frozenset((i, j)) in met for i in range(40, 50) for j in range(60) if i != j)
 
 
+def test_pairs_with_sketches_far_apart_are_compared(spark):
+    """Similar pairs whose sketches differ in 20 of 30 bins: no sketch turns a pair away that nothing else has compared."""
+    rnd, rows = np.random.default_rng(13), []
+    for i in range(40):
+        lo, hi = (int(x) for x in rnd.integers(0, 1 << line_dedup.BINS, 2))
+        other = sum(1 << int(b) for b in rnd.choice(line_dedup.BINS, 20, replace=False))
+        rows += [(2 * i, [7], lo, hi), (2 * i + 1, [7], lo ^ other, hi)]
+    distinct = spark.createDataFrame(rows, "lid long, keys array<long>, lo long, hi long")
+    of = line_dedup.linked(line_dedup.buckets(distinct), lambda pairs: pairs.filter("u = v + 1 AND v % 2 = 0"))
+    assert {r["node"]: r["component"] for r in of.collect()} == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_bound_keeps_similar_sets_and_few_others(spark):
+    rnd, sets = np.random.default_rng(14), []
+    for size in (1, 4, 5, 9, 45, 300, 900, 3000):
+        base = rnd.integers(0, 1 << 62, size)
+        for kept in (1.0, 0.9, 0.89, 0.8, 0.6):
+            n = int(np.ceil(kept * size))
+            sets += [base[:n], np.concatenate((base[:n], rnd.integers(0, 1 << 62, size - n)))]
+    rows = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "lid long, hashes array<long>")
+    held = line_dedup.parities(rows)
+    for r in held.collect():
+        assert r["size"] == len(sets[r["lid"]]) and [r[f"p{k}"] for k in range(line_dedup.PARITY)] == simhash.parity(sets[r["lid"]].astype(np.uint64)).tolist()
+    got = {(r["u"], r["v"]) for r in line_dedup._met(held.selectExpr("*", "lid AS c", "1 AS key"), ["key"], 0.8).collect()}
+    alike = {(i, j): len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    assert {x for x, j in alike.items() if j >= 0.8} <= got
+    assert not [x for x in got if alike[x] < 0.5 and max(len(sets[k]) for k in x) < 1000]
+
+
+def test_lines_that_are_near_are_seldom_compared_exactly(spark, monkeypatch):
+    """Lines of one template that share buckets and aren't similar: their parities tell, not their texts."""
+    rnd, rows, asked = np.random.default_rng(15), [], []
+    base = random_words(rnd, 80)[:400]
+    rows = [(i, f"{base[:200]} {random_words(rnd, 20)[:90].ljust(90, 'q')} {base[200:]}") for i in range(200)]
+    exact = line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *more: asked.append(pairs) or exact(pairs, *more))
+    assert line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+    assert sum(p.count() for p in asked) < 1000  # of 19,900
+
+
 def test_a_line_of_many_lines_loses_some(spark):
     lines = [f"line {i} " + hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nanother one that stays")], "doc_id long, text string")
