@@ -84,7 +84,9 @@ def _signed(lines: DataFrame) -> DataFrame:
         own = [F.col(f"m{j}") for j in range(k * ROWS, (k + 1) * ROWS)]
         keys.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(k), *(F.coalesce(m, F.lit(-1)) for m in own))))
     bits = [_or([F.shiftleft(F.shiftright(F.coalesce(f"m{j}", F.lit(-1)), at).bitwiseAND(1).cast("long"), j) for j in range(BINS)]) for at in (0, 1)]
-    return signed.select("h", "g", F.monotonically_increasing_id().alias("lid"), "n", F.array(*keys).alias("keys"), bits[0].alias("lo"), bits[1].alias("hi"))
+    # a lambda keeps this out of the method that the aggregate's rows go through, which would be too long to be compiled (over 8000 bytes)
+    own = F.transform(F.array(*keys), lambda key: key)
+    return signed.select("h", "g", F.monotonically_increasing_id().alias("lid"), "n", own.alias("keys"), bits[0].alias("lo"), bits[1].alias("hi"))
 
 
 def _differ(a: str, b: str) -> Column:
