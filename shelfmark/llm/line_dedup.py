@@ -5,10 +5,11 @@ the least hash of each bin is its MinHash signature (one permutation), and an
 empty bin takes the value of another one, the same for all lines. Lines that
 agree in all bins of a band meet in its bucket. Two bits of each bin make a
 sketch, by which each line is compared with the nearest one of its buckets' hubs,
-and a distributed union-find joins what is similar by exact Jaccard similarity. Of
-buckets that still have lines of several components all pairs across components
-are then compared, those of large buckets in blocks that many tasks share. What
-turns a pair away there is a bound that holds for every similar pair: the number
+the lines that meet most others, and a distributed union-find joins what is similar
+by exact Jaccard similarity. Buckets that still have lines of several components
+then meet the hubs of the largest of these, and what is left of them is compared in
+all pairs across components, each in the first bucket that has both lines, those of
+large buckets in blocks that many tasks share. What turns a pair away there is a bound that holds for every similar pair: the number
 of bits in which the parities of two sets' hashes differ is never larger than the
 number of shingles that only one of them has. So no similar pair that meets is left
 out. One line of each component stays.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
@@ -42,11 +43,11 @@ TURNS = (7, 11, 13, 17, 19, 23)
 #: Bins in which a line's sketch differs from that of its hub at most: at 0.7 they are 6.8 on average with a deviation of 2.3. What has more meets others later.
 DIFFER = 13
 #: Words of 64 bits of the parities of a set's hashes.
-PARITY = 8
+PARITY = 16
 #: Lines of a bucket, or of a block of a larger one, that one task compares in pairs, about.
 SMALL = 1024
-#: Rounds in which larger buckets meet further hubs before all their pairs are compared.
-ROUNDS = 3
+#: Components of a bucket whose hubs its lines meet before all its pairs are compared, and rounds of that.
+HUBS, ROUNDS = 4, 1
 
 
 def _lines(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,6 +156,8 @@ def _met(rows: DataFrame, on: list[str], least: float, apart: str = "true") -> D
     meet = (F.col("lid_a") > F.col("lid_b")) & (F.col("c_a") != F.col("c_b")) & F.expr(apart)
     if "size" in rows.columns:
         meet &= _bound(least)
+    if "keys" in rows.columns:  # a pair is taken in the first bucket that it shares
+        meet &= F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
     return a.join(b, on).filter(meet).select(F.col("lid_a").alias("u"), F.col("lid_b").alias("v"))
 
 
@@ -175,25 +178,38 @@ def _across(large: DataFrame, least: float) -> DataFrame:
     return _met(dealt.drop("own").join(sides, ["key", "block"]), ["key", "x", "y"], least, "(x = y OR block_a <> block_b)")
 
 
-def _with_hub(rows: DataFrame, order: Column) -> DataFrame:
-    """Pairs of each line with one of the hubs of its buckets, the one of the nearest sketch; a bucket's hub is its least line in ``order``."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("x"), "lid", "c", "lo", "hi")).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.lid").alias("hub"), F.col("hub.c").alias("c_h"), F.col("hub.lo").alias("lo_h"), F.col("hub.hi").alias("hi_h"))
+def _nearest(rows: DataFrame, hubs: DataFrame, *by: str) -> DataFrame:
+    """Pairs of each line, and each value of ``by``, with the one of the nearest sketch among the hubs (key, hub, c_h, lo_h, hi_h) of its buckets that are of other components."""
     own = rows.withColumnsRenamed({"lo": "lo_l", "hi": "hi_l"}).join(hubs, "key")
-    nearest = own.filter((F.col("c") != F.col("c_h")) & _near("_l", "_h")).groupBy("lid").agg(F.min(F.struct(_differ("_l", "_h").alias("differ"), "hub")).alias("least"))
+    nearest = own.filter((F.col("c") != F.col("c_h")) & _near("_l", "_h")).groupBy("lid", *by).agg(F.min(F.struct(_differ("_l", "_h").alias("differ"), "hub")).alias("least"))
     return nearest.select(*_ordered("lid", "least.hub"))
 
 
+def _with_hub(rows: DataFrame) -> DataFrame:
+    """Pairs of each line with the nearest one of its buckets' hubs; a bucket's hub is the line that meets most others."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("x"), "lid", "c", "lo", "hi")).alias("hub"))
+    return _nearest(rows, hubs.select("key", F.col("hub.lid").alias("hub"), F.col("hub.c").alias("c_h"), F.col("hub.lo").alias("lo_h"), F.col("hub.hi").alias("hi_h")))
+
+
+def _with_hubs(rows: DataFrame) -> DataFrame:
+    """Pairs of each line with a hub of each of the HUBS largest components of its buckets: of several for a place, the nearest one."""
+    groups = rows.groupBy("key", "c").agg((-F.count(F.lit(1))).alias("m"), F.min(F.struct((-F.col("met")).alias("x"), "lid", "lo", "hi")).alias("hub"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("m", "hub.x", "hub.lid"))
+    hubs = groups.withColumn("place", place).filter(F.col("place") <= HUBS)
+    return _nearest(rows, hubs.select("key", "place", F.col("hub.lid").alias("hub"), F.col("c").alias("c_h"), F.col("hub.lo").alias("lo_h"), F.col("hub.hi").alias("hi_h")), "place")
+
+
 def buckets(distinct: DataFrame) -> DataFrame:
-    """(key, n, lid, lo, hi) of the buckets with several members of ``distinct`` (lid, keys, lo, hi); ``n`` is how many."""
+    """(key, n, lid, lo, hi, met) of the buckets with several members of ``distinct`` (lid, keys, lo, hi); ``n`` is how many, ``met`` the sum over a member's buckets."""
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = distinct.select("lid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition(partitions, "key")  # shuffled once for both uses
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return stage(every.join(shared, "key").join(distinct.select("lid", "lo", "hi"), "lid").select("key", "n", "lid", "lo", "hi"), "line-buckets")
+    met = F.sum("n").over(Window.partitionBy("lid"))
+    return stage(every.join(shared, "key").withColumn("met", met).join(distinct.select("lid", "lo", "hi"), "lid").select("key", "n", "lid", "lo", "hi", "met"), "line-buckets")
 
 
 def linked(
-    shared: DataFrame, similar: Callable[[DataFrame], DataFrame], further: DataFrame | None = None, spread: bool = True, sets: Callable[[DataFrame], DataFrame] | None = None, least: float = LEAST
+    shared: DataFrame, similar: Callable[[DataFrame], DataFrame], further: DataFrame | None = None, sets: Callable[[DataFrame], DataFrame] | None = None, least: float = LEAST
 ) -> DataFrame:
     """(node, component) of the members of buckets that are similar to others; ``shared`` is from :func:`buckets`.
 
@@ -201,35 +217,39 @@ def linked(
     pairs to be looked at too. Members of a bucket end in one component or have
     been compared, however large the bucket is. ``sets`` has for members (lid) what
     :func:`parities` has, which spares ``similar`` the pairs whose Jaccard similarity
-    can't be ``least``; without it, all pairs across components are given to it. A
-    bucket's hub is its least member, or with ``spread`` another one in each bucket.
+    can't be ``least``; without it, all pairs across components are given to it.
     """
-    pairs = _with_hub(shared.withColumn("c", F.col("lid")), F.xxhash64("key", "lid") if spread else F.col("lid"))
+    pairs = _with_hub(shared.withColumn("c", F.col("lid")))
     pairs = stage((pairs.unionByName(further) if further is not None else pairs).distinct(), "line-pairs")
     named = components(stage(similar(pairs), "line-links"), "line-components")
     rows = _open(shared, named, "line-open")
 
-    def meet(more: DataFrame) -> None:
+    def meet(more: DataFrame) -> bool:
         nonlocal pairs, named
         more = stage(more.distinct().join(pairs, ["u", "v"], "left_anti"), "line-pairs")
-        if more.limit(1).count():
-            pairs = pairs.unionByName(more)
-            found = stage(similar(more), "line-links")
-            if found.limit(1).count():
-                named = components(named.toDF("u", "v").unionByName(found), "line-components")
-
+        if not more.limit(1).count():
+            return False
+        pairs = pairs.unionByName(more)
+        found = stage(similar(more), "line-links")
+        if not found.limit(1).count():
+            return False
+        named = components(named.toDF("u", "v").unionByName(found), "line-components")
+        return True
+
+    for _ in range(ROUNDS):  # a line that isn't similar to a hub may be to another one, which spares its pairs with all others
+        if not meet(_with_hubs(rows)):
+            break
+        rows = _open(rows.drop("c"), named, "line-open")
     large = rows.filter(F.col("n") > SMALL)
     crowd = large.limit(1).count() > 0
-    for k in range(ROUNDS if crowd else 0):  # a line that isn't similar to a hub may be to another one, which spares its pairs with all others
-        meet(_with_hub(large, F.xxhash64("key", "lid", F.lit(k))))
-        large = _open(large.drop("c"), named, "line-open")
     small = rows.filter(F.col("n") <= SMALL)
+    held = shared.join(rows.select("key").distinct(), "key").groupBy("lid").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     if sets is not None:
-        lids = small.select("lid").unionByName(large.select("lid")).distinct() if crowd else small.select("lid").distinct()
-        held = fits(stage(sets(lids), "line-parities"), BROADCAST_ROWS // 10)  # rows of ten numbers
-        small, large = small.join(held, "lid"), large.join(held, "lid")
-    every = _met(small.drop("n", "lo", "hi"), ["key"], least)
-    meet(every.unionByName(_across(large.drop("lo", "hi"), least)) if crowd else every)
+        held = held.join(sets(rows.select("lid").distinct()), "lid")
+    held = fits(stage(held, "line-parities"), BROADCAST_ROWS // 20)  # rows of up to twenty numbers
+    small, large = small.join(held, "lid"), large.join(held, "lid")
+    every = _met(small.drop("n", "lo", "hi", "met"), ["key"], least)
+    meet(every.unionByName(_across(large.drop("lo", "hi", "met"), least)) if crowd else every)
     return named
 
 

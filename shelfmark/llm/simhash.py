@@ -333,7 +333,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def sets(lids: DataFrame) -> DataFrame:
         return distinct.select("lid", *_SETS).join(fits(lids), "lid")
 
-    named = linked(buckets(distinct.select("lid", "keys", "lo", "hi")), similar, edges.unionByName(equal), spread=False, sets=sets, least=least)
+    named = linked(buckets(distinct.select("lid", "keys", "lo", "hi")), similar, edges.unionByName(equal), sets=sets, least=least)
     of = distinct.select("lid", "best").join(named, F.col("lid") == F.col("node"), "left").select(F.coalesce("component", "lid").alias("component"), "best")
     kept = of.groupBy("component").agg(F.min("best").alias("best")).select("best._file", "best._row")
     gone = stage(marks.select("_file", "_row").join(kept, ["_file", "_row"], "left_anti"), "near-gone")

@@ -341,6 +341,24 @@ def test_lines_that_are_near_are_seldom_compared_exactly(spark, monkeypatch):
     assert sum(p.count() for p in asked) < 1000  # of 19,900
 
 
+def test_pairs_of_a_crowd_are_few_and_made_once(spark, monkeypatch):
+    """Near copies of one line: its most central copies take most of them, and a pair in several buckets is made in one of them."""
+    rnd, made = np.random.default_rng(21), []
+    words = [random_words(rnd, 1) for _ in range(400)]
+    base = [words[k] for k in rnd.integers(0, 400, 60)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for k in rnd.integers(0, 60, int(rnd.integers(1, 9))):
+            own[k] = words[rnd.integers(0, 400)]
+        rows.append((i, " ".join(own)))
+    met = line_dedup._met
+    monkeypatch.setattr(line_dedup, "_met", lambda *given: made.append(met(*given)) or made[-1])
+    got = {frozenset((r["id"], r["component"])) for r in line_dedup.line_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [p for frame in made for p in frame.collect()]
+    assert got and len(pairs) == len(set(pairs)) and len(pairs) < 3000  # of 44,850
+
+
 def test_a_line_of_many_lines_loses_some(spark):
     lines = [f"line {i} " + hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines)) + "\nanother one that stays")], "doc_id long, text string")
