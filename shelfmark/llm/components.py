@@ -2,11 +2,12 @@
 
 Both steps are group minima and joins, so the union-find is spread over the
 cluster: no task holds a component, and the driver only reads two sums a round.
+A few edges go through several rounds in one task instead, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.storage import BROADCAST_ROWS, remove, stage_at
@@ -16,6 +17,8 @@ from shelfmark.llm.storage import BROADCAST_ROWS, remove, stage_at
 HEAVY = 10_000
 #: Edges a task writes at least, of tables whose rows were counted to be few.
 TASK_EDGES = 50_000
+#: Edges that one task takes through TURNS rounds at most.
+ONE_TASK, TURNS = 100_000, 4
 
 
 def _with_least(edges: DataFrame, least: DataFrame, few: bool) -> DataFrame:
@@ -46,13 +49,31 @@ def _small_star(edges: DataFrame, few: bool, parts: int) -> DataFrame:
     return moved.unionByName(stars.coalesce(parts) if few else stars)
 
 
-def _staged(edges: DataFrame, purpose: str) -> tuple[DataFrame, str, tuple]:
-    """The written edges, where, and a mark: equal for equal edge sets, but for a chance of about 2**-64."""
+def _turn(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step of edges (u > v) in a single partition, which windows don't shuffle."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    large = both.withColumn("m", F.least(least, "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.withColumn("m", least).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return small.select("e.u", "e.v").filter("u <> v").distinct()
+
+
+def _marked(edges: DataFrame) -> tuple[DataFrame, Observation]:
+    """``edges``, and a mark to be had when they are written: equal for equal edge sets, but for a chance of about 2**-64."""
     seen = Observation()
     pair = F.xxhash64("u", "v").cast("decimal(38,0)")
-    now, path = stage_at(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(pair).alias("sum")), purpose)
-    got = seen.get
-    return now, path, (got["n"], got["sum"])
+    return edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(pair).alias("sum")), seen
+
+
+def _mark(seen: Observation) -> tuple:
+    return seen.get["n"], seen.get["sum"]
+
+
+def _staged(edges: DataFrame, purpose: str) -> tuple[DataFrame, str, tuple]:
+    """The written edges, where, and their mark."""
+    marked, seen = _marked(edges)
+    now, path = stage_at(marked, purpose)
+    return now, path, _mark(seen)
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
@@ -64,6 +85,17 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     now, path, mark = _staged(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct(), purpose)
     while mark[0]:
+        if mark[0] <= ONE_TASK:
+            after = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(1)
+            for _ in range(TURNS - 1):
+                after = _turn(after)
+            after, seen = _marked(after)
+            after, new_path, mark = _staged(_turn(after), purpose)
+            remove(now.sparkSession, path)
+            now, path = after, new_path
+            if mark == _mark(seen):
+                break
+            continue
         few = mark[0] <= BROADCAST_ROWS // 2  # a node for each end of an edge at most; a step makes no more edges
         parts = mark[0] // TASK_EDGES + 1  # a few edges in many partitions are many small files in each round
         after = _small_star(_large_star(now, few), few, parts).distinct()

@@ -48,6 +48,8 @@ PARITY = 16
 SMALL = 1024
 #: Components of a bucket whose hubs its lines meet before all its pairs are compared, and rounds of that.
 HUBS, ROUNDS = 4, 1
+#: Numbers of lines to be cut that are broadcast at most; with more, the texts are shuffled, since a broadcast goes through the driver.
+CUTS = 10_000
 
 
 def _lines(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,10 +204,10 @@ def _with_hubs(rows: DataFrame) -> DataFrame:
 def buckets(distinct: DataFrame) -> DataFrame:
     """(key, n, lid, lo, hi, met) of the buckets with several members of ``distinct`` (lid, keys, lo, hi); ``n`` is how many, ``met`` the sum over a member's buckets."""
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = distinct.select("lid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition(partitions, "key")  # shuffled once for both uses
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    every = distinct.select("lid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition(partitions, "key")
+    shared = every.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
     met = F.sum("n").over(Window.partitionBy("lid"))
-    return stage(every.join(shared, "key").withColumn("met", met).join(distinct.select("lid", "lo", "hi"), "lid").select("key", "n", "lid", "lo", "hi", "met"), "line-buckets")
+    return stage(shared.withColumn("met", met).join(distinct.select("lid", "lo", "hi"), "lid").select("key", "n", "lid", "lo", "hi", "met"), "line-buckets")
 
 
 def linked(
@@ -305,8 +307,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = docs.columns.index(text_col)
     lines = _components(placed, names[docs.columns.index(id_col)], names[at], least, size)
     cut = stage(lines.filter(~F.col("kept")).groupBy("_file", "_row").agg(F.collect_list("pos").alias("cut")), "line-cuts")
-    few = (cut.agg(F.sum(F.size("cut") + 5)).first()[0] or 0) <= BROADCAST_ROWS  # numbers, so what is broadcast is bounded by bytes
-    rows = placed.join(F.broadcast(cut) if few else cut, ["_file", "_row"], "left")
+    few = (cut.agg(F.sum(F.size("cut") + 5)).first()[0] or 0) <= CUTS  # numbers, so what is broadcast is bounded by bytes
+    rows = placed.join(F.broadcast(cut) if few else cut.hint("merge"), ["_file", "_row"], "left")
     text = F.col(names[at]).cast("string")
     split = F.split(text, "\n")
     stay = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("cut"))

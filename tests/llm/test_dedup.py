@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +8,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from helpers import DATA, same_rows
-from shelfmark.llm import exact_dedup, line_dedup, simhash, substring_dedup
+from shelfmark.llm import components as components_module
+from shelfmark.llm import exact_dedup, line_dedup, simhash, storage, substring_dedup
 from shelfmark.llm.components import components
 from shelfmark.llm.queries import ORACLE_SQL, QUERIES
 
@@ -79,6 +81,44 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components_of_few_edges_in_one_task(spark, monkeypatch, one_task):
+    """Chains that need more rounds than one task takes at once, groups and lone pairs; few edges don't cost a dozen jobs a round."""
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
+    rnd = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rnd.permutation(400)[:, None] + [[0, 400]]] + [(1000 + i, 1001 + i) for i in range(300)] + [(2000, 2000 + i) for i in range(1, 50)] + [(7, 7)]
+    sets = Sets(2100)
+    for a, b in pairs:
+        sets.join(a, b)
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    spark.sparkContext.setJobGroup(f"components-{one_task}", "")
+    found = components(edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{one_task}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert {r["node"]: r["component"] for r in found.collect()} == {n: sets.find(n) for a, b in pairs if a != b for n in (a, b)}
+    assert jobs <= 10 or not one_task
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """Else they stay on disk until the driver happens to collect its garbage."""
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = spark.conf.get(storage._CLEANUP, None)
+
+    def files():
+        return {f.getName() for f in (held.getAllFiles().apply(i) for i in range(held.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    table = storage.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert table.count() == 7 and spark.conf.get(storage._CLEANUP, None) == setting
+    own = files() - before
+    for _ in range(50):
+        if not own & files():
+            break
+        time.sleep(0.2)
+    shuffles = {name.split("_")[1] for name in own & files()}
+    assert len(shuffles) <= 1  # that of the count just made
+
+
 # SimHash
 
 
@@ -205,6 +245,18 @@ def test_lines_query(spark, texts):
     assert wrong <= 0.02 * len(texts)
 
 
+@pytest.mark.parametrize("cuts", [0, 10_000_000])
+def test_texts_are_joined_with_cuts_of_any_number(docs, edge, monkeypatch, cuts):
+    """The same rows whether the lines to be cut are broadcast or the texts are shuffled; more than CUTS aren't broadcast."""
+    monkeypatch.setattr(line_dedup, "CUTS", cuts)
+    left = line_dedup.dedup_lines(docs)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (cuts > 0)
+    want = {min(g) for g in brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])}
+    assert left.count() == docs.count() and left.agg(F.sum("n_dropped")).first()[0] > len(want) / 2
+    assert sum(r["n_dropped"] for r in line_dedup.dedup_lines(edge).collect()) == 2  # three equal lines
+
+
 def test_variants_of_one_line_meet(spark):
     base = "the quick brown fox jumps over the lazy dog while forty two other animals watch the scene from the old barn "
     rows = [(i, base + f"number {i:04d}") for i in range(300)] + [(1000, "something else entirely that nobody repeats"), (1001, "é" * 50), (1002, " " + "é" * 50 + " ")]
