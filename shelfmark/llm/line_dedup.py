@@ -79,7 +79,8 @@ def _signed(lines: DataFrame) -> DataFrame:
     hashed = hashed.select("h", "g", "i", "most", F.shiftrightunsigned("s", 33).cast("int").alias("v"), (F.col("s").bitwiseAND(0xFFFF) % BINS).cast("int").alias("b"))
     low = hashed.filter((F.col("v") <= F.col("most")) | (F.col("i") == 0))  # the first one of each line counts the line
     low = low.select("h", "g", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), F.when(F.col("v") <= F.col("most"), F.col("b")).otherwise(-1).alias("b"), "v")
-    signed = low.groupBy("h", "g").agg(F.sum("one").alias("n"), *[F.min(F.when(F.col("b") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
+    # with a filter a row writes only the value of its own bin, not all of them
+    signed = low.groupBy("h", "g").agg(F.sum("one").alias("n"), *[F.expr(f"min(v) FILTER (WHERE b = {j})").alias(f"m{j}") for j in range(BINS)])
     full = [F.coalesce(*[f"m{k}" for k in (j, *((j * t + 1) % BINS for t in TURNS))]).alias(f"m{j}") for j in range(BINS)]
     signed = signed.select("h", "g", "n", *full)
     keys = []
@@ -128,7 +129,7 @@ def parities(sets: DataFrame) -> DataFrame:
     """(lid, size, p0, p1, ...) of sets (lid, hashes), which have no repeats: their sizes, and for each value of the hashes' low bits whether an odd number has it."""
     each = sets.select("lid", F.explode("hashes").alias("s"))
     each = each.select("lid", F.shiftrightunsigned("s", 6).bitwiseAND(PARITY - 1).alias("word"), F.expr("shiftleft(1L, cast(s & 63 AS int))").alias("bit"))
-    return each.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITY)])
+    return each.groupBy("lid").agg(F.count(F.lit(1)).alias("size"), *[F.expr(f"coalesce(bit_xor(bit) FILTER (WHERE word = {k}), 0L)").alias(f"p{k}") for k in range(PARITY)])
 
 
 def _bound(least: float) -> Column:

@@ -245,6 +245,24 @@ def test_lines_query(spark, texts):
     assert wrong <= 0.02 * len(texts)
 
 
+def test_signatures_are_least_values_of_bins(docs):
+    """Bins are filtered, so a row of a shingle writes one of them; a band's key is null only where none of its bins and none that they turn to has a value."""
+    lines = line_dedup._lines(storage.with_places(docs, "test"), "c0", "c1")
+    signed = line_dedup._signed(lines)
+    assert "FILTER (WHERE" in signed._jdf.queryExecution().executedPlan().toString()
+    assert signed.agg(F.sum("n")).first()[0] == lines.count()
+    some = lines.filter("length(line) between 20 and 60").limit(20)
+    held = {(r["h"], r["g"]): r for r in line_dedup._signed(some).collect()}
+    for r in some.select("h", "g", "line").distinct().collect():
+        own, wide = {}, r["line"].encode("utf-16-be")
+        for i in range(0, max(len(wide) - 2 * line_dedup.SIGNED, 0) + 1, 2):
+            mark = xxhash.xxh64_intdigest(wide[i : i + 2 * line_dedup.SIGNED], 42)
+            own[(mark & 0xFFFF) % line_dedup.BINS] = min(mark >> 33, own.get((mark & 0xFFFF) % line_dedup.BINS, 1 << 31))
+        full = [next((own[k] for k in (j, *((j * t + 1) % line_dedup.BINS for t in line_dedup.TURNS)) if k in own), -1) for j in range(line_dedup.BINS)]
+        row = held[r["h"], r["g"]]
+        assert row["lo"] == sum((m & 1) << j for j, m in enumerate(full)) and row["hi"] == sum((m >> 1 & 1) << j for j, m in enumerate(full))
+
+
 @pytest.mark.parametrize("cuts", [0, 10_000_000])
 def test_texts_are_joined_with_cuts_of_any_number(docs, edge, monkeypatch, cuts):
     """The same rows whether the lines to be cut are broadcast or the texts are shuffled; more than CUTS aren't broadcast."""
